@@ -15,6 +15,7 @@ import bisect
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -33,7 +34,9 @@ class WordTokenizer:
     Texts are cut at blanks, tabs and line ends only; any other separator stays in its word, for the tokenizer to see.
     """
 
-    def __init__(self, path: str, keep: int = 300_000, longest: int = 64):
+    _of: dict[str, WordTokenizer] = {}
+
+    def __init__(self, path: str, keep: int = 600_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -41,30 +44,32 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
         self.keep, self.longest = keep, longest
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.inner.encode_batch(words, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        """Ids as unsigned 32-bit little-endian numbers."""
-        words = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        """The one of this process, with the words that earlier tasks met."""
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as unsigned 32-bit little-endian numbers."""
+        cut = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
+        if len(self.known) > self.keep:
+            self.known.clear()
         known = self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) > self.keep:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            known.update(zip(new, self._encode(new)))
-        ids = b"".join([known[w] for w in words])
-        for w in new:
-            if len(w) > self.longest:
-                del known[w]
+        new = list(set().union(*cut) - known.keys())
+        for e, word in zip(self.inner.encode_batch_fast(new, add_special_tokens=False), new):
+            known[word] = np.asarray(e.ids, "<u4").tobytes()
+        ids = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for word in new:
+            if len(word) > self.longest:
+                del known[word]
         return ids
 
 
 def place(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, open_windows: int) -> Iterator[pa.RecordBatch]:
     """Pieces of one partition; those with window -1 are left over, their offset counting from the partition's first."""
-    tokenize = WordTokenizer(path)
+    tokenize = WordTokenizer.of(path)
     part = TaskContext.get().partitionId()
     end = int(end_id).to_bytes(4, "little")
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "part", "window", "offset"]
@@ -90,8 +95,9 @@ def place(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int
             size += len(piece[3])
 
     for rows in batches:
-        for doc_id, raw in zip(rows.column(0).to_pylist(), rows.column(1)):
-            ids = tokenize((raw.as_py() or b"").decode("utf-8", "replace")) + end
+        texts = [(x or b"").decode("utf-8", "replace") for x in rows.column(1).to_pylist()]
+        for doc_id, ids in zip(rows.column(0).to_pylist(), tokenize(texts)):
+            ids += end
             total = len(ids) // 4
             start = 0
             while total - start >= window:
