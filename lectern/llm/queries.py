@@ -5,10 +5,12 @@ from __future__ import annotations
 from lectern.llm.mixing import OP3_SQL, op3_mix
 from lectern.llm.packing import op2_pack
 from lectern.llm.sharding import op10_reshard
+from lectern.llm.simhash import op5_simhash
 
 QUERIES = {
     "op2_pack": op2_pack,
     "op3_mix": op3_mix,
+    "op5_simhash": op5_simhash,
     "op10_reshard": op10_reshard,
 }
 
