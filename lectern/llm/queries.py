@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lectern.llm.langid import op7_language
 from lectern.llm.mixing import OP3_SQL, op3_mix
 from lectern.llm.packing import op2_pack
 from lectern.llm.sharding import op10_reshard
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_pack": op2_pack,
     "op3_mix": op3_mix,
     "op5_simhash": op5_simhash,
+    "op7_language": op7_language,
     "op10_reshard": op10_reshard,
 }
 
