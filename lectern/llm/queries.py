@@ -5,6 +5,7 @@ from __future__ import annotations
 from lectern.llm.langid import op7_language
 from lectern.llm.mixing import OP3_SQL, op3_mix
 from lectern.llm.packing import op2_pack
+from lectern.llm.pii import op8_pii
 from lectern.llm.sharding import op10_reshard
 from lectern.llm.simhash import op5_simhash
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op5_simhash": op5_simhash,
     "op7_language": op7_language,
+    "op8_pii": op8_pii,
     "op10_reshard": op10_reshard,
 }
 
