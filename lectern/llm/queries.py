@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lectern.llm.ann import op1_ann
+from lectern.llm.impact import OP4_SQL, op4_topk
 from lectern.llm.langid import op7_language
 from lectern.llm.mixing import OP3_SQL, op3_mix
 from lectern.llm.packing import op2_pack
@@ -10,12 +12,14 @@ from lectern.llm.sharding import op10_reshard
 from lectern.llm.simhash import op5_simhash
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_pack": op2_pack,
     "op3_mix": op3_mix,
+    "op4_topk": op4_topk,
     "op5_simhash": op5_simhash,
     "op7_language": op7_language,
     "op8_pii": op8_pii,
     "op10_reshard": op10_reshard,
 }
 
-SQL = {"op3_mix": OP3_SQL}
+SQL = {"op3_mix": OP3_SQL, "op4_topk": OP4_SQL}
