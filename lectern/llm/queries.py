@@ -10,6 +10,7 @@ from lectern.llm.packing import op2_pack
 from lectern.llm.pii import op8_pii
 from lectern.llm.sharding import op10_reshard
 from lectern.llm.simhash import op5_simhash
+from lectern.llm.tokencount import op9_counts
 
 QUERIES = {
     "op1_ann": op1_ann,
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op7_language": op7_language,
     "op8_pii": op8_pii,
+    "op9_counts": op9_counts,
     "op10_reshard": op10_reshard,
 }
 
