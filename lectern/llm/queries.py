@@ -11,6 +11,7 @@ from lectern.llm.pii import op8_pii
 from lectern.llm.sharding import op10_reshard
 from lectern.llm.simhash import op5_simhash
 from lectern.llm.tokencount import op9_counts
+from lectern.llm.urlfilter import op6_urls
 
 QUERIES = {
     "op1_ann": op1_ann,
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_topk": op4_topk,
     "op5_simhash": op5_simhash,
+    "op6_urls": op6_urls,
     "op7_language": op7_language,
     "op8_pii": op8_pii,
     "op9_counts": op9_counts,
