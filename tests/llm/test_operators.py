@@ -1,0 +1,484 @@
+"""The ten operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lectern.llm import ann, impact, langid, mixing, packing, pii, sharding, simhash, tokencount, urlfilter
+
+DOCS = "doc_id long, text string, lang string, source string"
+VECS = "vec_id long, embedding array<float>"
+BPE = public_tokenizers.path("word_bpe_49k.json")
+UNIGRAM = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def odd_docs():
+    return [
+        (1, "The quick brown fox jumps", "en", "a"), (2, None, "en", "a"), (3, "", None, None), (4, "  \t\n ", "de", "b"), (5, "x", "en", None), (5, "x", "en", None),
+        (None, "no id here", "en", "a"), (7, "word " * 6000, "en", "a"), (8, "é" * 3000, "fr", ""), (9, "123 !!!", "en", "c"), (10, "The quick brown fox jumps", "en", "b"),
+    ]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_docs(), DOCS).withColumn("size", F.lit("extra")).withColumn("part", F.lit(1)).withColumn("entities", F.lit("x")).repartition(3)
+
+
+def empty(spark, schema=DOCS):
+    return spark.createDataFrame([], schema)
+
+
+# ---- packing
+
+
+def test_pack(spark, odd):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BPE)
+    rows = packing.pack(odd, BPE, window=256, open_windows=4).collect()
+    want = Counter()
+    for doc_id, text, *_ in odd_docs():
+        want[doc_id, np.asarray(tok.encode(text or "", add_special_tokens=False).ids + [1], "<u4").tobytes()] += 1
+    by_seq = defaultdict(list)
+    for r in rows:
+        by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in by_seq.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 256
+    got = Counter()
+    for doc_id in {r["doc_id"] for r in rows}:
+        mine = sorted((r for r in rows if r["doc_id"] == doc_id), key=lambda r: r["start"])
+        if doc_id == 5:  # two equal rows
+            assert Counter(bytes(r["ids"]) for r in mine) == Counter({k[1]: n for k, n in want.items() if k[0] == 5})
+            got.update({k: n for k, n in want.items() if k[0] == 5})
+            continue
+        at = 0
+        for r in mine:
+            assert r["start"] == at
+            at += r["length"]
+        assert at == mine[0]["doc_tokens"]
+        got[doc_id, b"".join(bytes(r["ids"]) for r in mine)] += 1
+    assert got == want
+    assert packing.pack(empty(spark), BPE).count() == 0
+
+
+def test_word_tokenizer_is_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tok, mine = Tokenizer.from_file(BPE), packing.WordTokenizer(BPE)
+    rng = random.Random(1)
+    alphabet = "aAbBzZéÉÀßẞΣσςİıǅ'’.,;:!?-_ \n\t123½Ⅷ́​　\x0b<|>你"
+    texts = ["", "<|endoftext|> x", "<|ENDOFTEXT|>, a", "ΑΣ ΣΑΣ ΑΣ, ὈΔΥΣΣΕΎΣ.", "DON'T, it's. ''s 's, a_. 5. Ǆ, ŉ. ß.", "a" * 3000] + ["".join(rng.choice(alphabet) for _ in range(30)) for _ in range(300)]
+    for text, ids in zip(texts, mine(texts)):
+        assert ids == np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+# ---- mixing
+
+
+def test_mix_budgets(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 40)), "en", rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 600
+    size = defaultdict(int)
+    for _, text, _, s in rows:
+        size[s] += len(text.split())
+    names = sorted((s for s in size if s is not None)) + ([None] if None in size else [])
+    left, open_ = 1.5 * sum(size.values()), {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    goal = {}
+    while True:  # deal by weight, take out what is above its cap, again
+        total = sum(open_.values())
+        over = [s for s, w in open_.items() if left * w / total > 2 * size[s]]
+        if not over:
+            goal.update({s: left * w / total for s, w in open_.items()})
+            break
+        for s in over:
+            goal[s] = 2 * size[s]
+        left -= sum(2 * size[s] for s in over)
+        for s in over:
+            del open_[s]
+    taken = defaultdict(int)
+    for r in got:
+        assert r["source_size"] == size[r["source"]] and abs(r["target"] - goal[r["source"]]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(taken[s] == int(goal[s] + 1e-9) for s in goal)
+
+
+def test_mix_documents_follow_the_plan(spark, odd):
+    plan = mixing.mix(odd).agg(F.sum("taken")).first()[0]
+    made = mixing.mix_documents(odd)
+    assert made.columns == odd.columns
+    assert made.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == plan
+    assert mixing.mix(empty(spark)).count() == 0 and mixing.mix_documents(empty(spark)).count() == 0
+
+
+# ---- resharding
+
+
+def test_flow_is_least_cost():
+    from itertools import product
+
+    rng = random.Random(3)
+    for _ in range(20):
+        supply = [rng.randrange(0, 4) for _ in range(3)]
+        cap = [0, 0]
+        for _ in range(sum(supply)):
+            cap[rng.randrange(2)] += 1
+        cost = [[rng.randrange(0, 4) for _ in range(2)] for _ in range(3)]
+        flow = sharding.min_cost_flow(supply, cap, cost)
+        assert [sum(f) for f in flow] == supply and [sum(f[j] for f in flow) for j in range(2)] == cap
+        best = min(sum(x * c[0] + (s - x) * c[1] for x, s, c in zip(xs, supply, cost)) for xs in product(*[range(s + 1) for s in supply]) if sum(xs) == cap[0])
+        assert sum(f * c for fs, cs in zip(flow, cost) for f, c in zip(fs, cs)) == best
+
+
+def test_reshard(spark, odd):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["same text", "x" * rng.randrange(1, 60)]), "en", "s") for i in range(2000)]
+    for docs, n in ((spark.createDataFrame(rows, DOCS), 2000), (odd, 11)):
+        got = sharding.reshard(docs, 8).collect()
+        assert len(got) == n
+        slots = defaultdict(list)
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(8))
+    got = sharding.reshard(spark.createDataFrame(rows, DOCS), 8).collect()
+    sizes = Counter()
+    for r in got:
+        assert r["size"] == len(rows[r["doc_id"]][1]) + 1 and r["crc"] == zlib.crc32(rows[r["doc_id"]][1].encode())
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 8 * 61
+    stay = sum(r["size"] for r in got if not r["moved"])
+    old = Counter()
+    for r in got:
+        old[r["old"]] += r["size"]
+    assert stay >= sum(min(old[j], sum(old.values()) // 8) for j in range(8)) - 8 * 61
+    assert sharding.reshard(empty(spark)).count() == 0
+
+
+def test_rewrite_affected(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "t" * (i + 1), "en", "s") for i in range(200)], DOCS)
+    plan = sharding.reshard(docs, 4)
+    sharding.rewrite(docs, plan, str(tmp_path / "o"), affected_only=False)
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 200
+
+
+# ---- simhash
+
+
+def brute_components(ids, fps):
+    f = np.array(fps, np.uint64)
+    parent = list(range(len(f)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(f)):
+        for j in np.flatnonzero(np.bitwise_count(f ^ f[i]) <= 3):
+            a, b = find(i), find(int(j))
+            parent[max(a, b)] = min(a, b)
+    least = {}
+    for i in range(len(f)):
+        if ids[i] is not None:
+            least[find(i)] = min(least.get(find(i), 1 << 70), ids[i])
+    return [least.get(find(i)) for i in range(len(f))]
+
+
+def test_golay_is_perfect():
+    checks, leader, fours = simhash.golay()
+    assert (leader >= 0).all() and len(set(leader.tolist())) == 2048
+    weights = np.array([bin(e).count("1") for e in leader])
+    assert weights.max() == 3 and ((fours >= 0).all(axis=1) == (weights == 3)).all()
+
+
+def test_linked_fingerprints_share_a_key():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 1500, dtype=np.int64).view(np.uint64)
+    b = a.copy()
+    for i in range(len(b)):
+        for bit in rng.choice(64, rng.integers(0, 4), replace=False):
+            b[i] ^= np.uint64(1) << np.uint64(bit)
+    near, every = defaultdict(set), defaultdict(set)
+    for k, i, n in zip(*simhash.keys(a)):
+        if n:
+            near[i].add(int(k))
+    for k, i, _ in zip(*simhash.keys(b)):
+        every[i].add(int(k))
+    assert all(near[i] & every[i] for i in range(len(a)))
+
+
+@pytest.mark.parametrize("block", [64, 4096])
+def test_dense_groups(spark, block):
+    rng = np.random.default_rng(2)
+    made = set()
+    for centre in rng.integers(0, 2**63, 4, dtype=np.int64):
+        for _ in range(200):
+            y = int(centre)
+            for bit in rng.choice(12, rng.integers(0, 7), replace=False):
+                y ^= 1 << int(bit) * 5
+            made.add(y - 2**64 if y >= 2**63 else y)
+    fps = sorted(made)
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), block)).collect()}
+    assert [roots.get(f, f) for f in fps] == brute_components(fps, [f & (2**64 - 1) for f in fps])
+
+
+def test_near_duplicates(spark, odd):
+    rows = simhash.near_duplicates(odd).collect()
+    assert len(rows) == 11
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    assert [r["component_id"] for r in rows] == brute_components([r["doc_id"] for r in rows], [r["fp"] & (2**64 - 1) for r in rows])
+    by_id = {r["doc_id"]: r for r in rows}
+    assert by_id[2]["fp"] == by_id[3]["fp"] == by_id[4]["fp"] == 0 and by_id[4]["component_id"] == 2 and by_id[10]["component_id"] == 1
+    words = "the quick brown fox jumps".split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(3)]
+    assert by_id[1]["fp"] & (2**64 - 1) == sum((sum(h >> b & 1 for h in hashes) * 2 > 3) << b for b in range(64))
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+# ---- vector searches
+
+
+def vectors(spark, n=700, dim=16, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim)).astype(np.float32)
+    x[100:160] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    bad = [(9000, None), (9020, [float("nan")] * dim), (9040, [None] * dim), (None, x[0].tolist()), (9060, [1.0]), (9080, [float("inf")] * dim)]
+    return x, spark.createDataFrame(rows + bad, VECS).withColumn("score", F.lit(1)).withColumn("list", F.lit(2)).repartition(4)
+
+
+def test_ann_recall_and_scores(spark):
+    x, df = vectors(spark)
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    got = defaultdict(dict)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    assert set(got) == set(range(0, 700, 20))
+    hits = 0
+    for q, found in got.items():
+        assert sorted(found) == list(range(1, 21)) and q not in [v for v, _ in found.values()]
+        assert all(abs(s[q, v] - c) < 1e-9 for v, c in found.values())
+        ordered = [found[k] for k in range(1, 21)]
+        assert ordered == sorted(ordered, key=lambda t: (-t[1], t[0]))
+        true = sorted((v for v in range(700) if v != q), key=lambda v: (-s[q, v], v))[:20]
+        hits += len(set(true) & {v for v, _ in ordered})
+    assert hits / (20 * len(got)) >= 0.9
+    assert ann.search(empty(spark, VECS), F.col("vec_id") % 20 == 0).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 0.0])], VECS)
+    assert [(r["query_id"], r["vec_id"]) for r in ann.search(few, F.col("vec_id") % 20 == 0).collect()] == [(0, 1)]
+
+
+def test_topk_exact(spark):
+    x, df = vectors(spark, seed=4)
+    v = np.floor(256 * x.astype(np.float64)).astype(np.int64)
+    s = v @ v.T
+    got = defaultdict(list)
+    for r in impact.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 700, 50):
+        true = sorted((c for c in range(700) if c != q), key=lambda c: (-s[q, c], c))[:5]
+        assert got[q] == [(k + 1, c, s[q, c]) for k, c in enumerate(true)]
+    assert impact.search(empty(spark, VECS), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_impact_index_stops_on_proof():
+    rng = np.random.default_rng(5)
+    x = rng.integers(-20, 20, (4096, 8))
+    x[:10] += 300
+    index = impact.ImpactIndex(np.arange(4096), x)
+    vec, score = index.top(-1, x[0], 5)
+    true = sorted(range(4096), key=lambda i: (-int(x[i] @ x[0]), i))[:5]
+    assert vec.tolist() == true and score.tolist() == [int(x[i] @ x[0]) for i in true]
+
+
+# ---- URL filters
+
+
+def test_url_parts_and_rules(spark):
+    cases = {
+        "https://A.Example.COM/en/x?q#f": ("a.example.com", "/en/x", "example.com/en/", "block"), "http://www.example.com/en/1": ("www.example.com", "/en/1", "www.example.com/en/", "allow"),
+        "http://x.www.example.com/en/": ("x.www.example.com", "/en/", "www.example.com/en/", "allow"), "http://a.com/": ("a.com", "/", "com/", "allow"), "ftp://b.net/es/": ("b.net", "/es/", "net/es/", "block"),
+        "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"), "http://a.com?x=/": ("a.com", "", None, None), "no scheme": ("", "", None, None), None: ("", "", None, None), "": ("", "", None, None),
+        "http://c.org://d.com/": ("c.org:", "//d.com/", None, None),
+    }
+    df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(cases)] + [(99, "http://a.com/", "z")], "page_id int, url string, host string")
+    got = {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(df).collect()}
+    for u, (host, path, rule, verdict) in cases.items():
+        assert got[u][:3] == (host, path, rule) and got[u][3] == (verdict or got[u][3]) and got[u][3] in ("allow", "block")
+    assert urlfilter.judge(df.limit(0)).count() == 0
+    assert urlfilter.judge(df).count() == len(cases) + 1
+
+
+def test_url_model_against_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(4))
+    train = [(f"{word()}.x/{word()}", True) for _ in range(40)] + [(f"{word()}.y/zz{word()}", False) for _ in range(40)]
+    asked = ["abca.x/bcab", "abca.y/zzab", "q", "ab"]
+    t = spark.createDataFrame(train, "symbols string, accepted boolean")
+    a = spark.createDataFrame([(u, u) for u in asked], "url string, symbols string")
+    got = {r["url"]: r["score"] for r in urlfilter.scores(a, t).collect()}
+
+    def grams(s, n):
+        p = urlfilter.START * 3 + s + urlfilter.END
+        return [p[i + 4 - n : i + 4] for i in range(len(p) - 3)]
+
+    def model(kind):
+        count = {n: Counter(g for s, k in train if k == kind for g in grams(s, n)) for n in range(1, 5)}
+
+        def p(g):
+            if not g:
+                return 1 / 256
+            same = {h: c for h, c in count[len(g)].items() if h[:-1] == g[:-1]}
+            total, kinds = sum(same.values()), len(same)
+            return (same.get(g, 0) + kinds * p(g[1:])) / (total + kinds) if total else p(g[1:])
+
+        return p
+
+    good, bad = model(True), model(False)
+    for u in asked:
+        want = np.mean([np.log(good(g) / bad(g)) for g in grams(u, 4)])
+        assert abs(got[u] - want) < 1e-9
+    assert got["abca.x/bcab"] > 0 > got["abca.y/zzab"]
+
+
+# ---- language ID
+
+
+def test_gradients():
+    model = langid.ByteGRU(["a", "b", "c"], 4)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 257, (7, 5)), rng.integers(0, 3, 5)
+    valid = (x != langid.PAD).astype(float)
+    _, g = model.gradients(x, y, valid)
+    for name, value in model.p.items():
+        at = (int(x[3, 2]), 5) if name[0] == "E" else tuple(int(rng.integers(0, n)) for n in value.shape)
+        keep = value[at]
+        sides = []
+        for e in (1e-3, -1e-3):
+            value[at] = keep + e
+            sides.append(model.gradients(x, y, valid)[0])
+        value[at] = keep
+        assert abs((sides[0] - sides[1]) / 2e-3 - g[name][at]) < 1e-4
+
+
+def test_windows_cover_whole_texts():
+    model = langid.ByteGRU(["a", "b"], 3)
+    text = bytes(range(65, 90)) * 40
+    x = np.frombuffer(text, np.uint8).astype(np.int64)[:, None]
+    exact = model.probabilities(x, 0, len(text)).mean(axis=(0, 2))
+    one = model.document_probabilities([text, b"", text[:5]], core=4096, edge=8)
+    assert np.allclose(one[0], exact, atol=1e-4) and (one[1] == 0).all() and abs(one[2].sum() - 1) < 1e-5
+    cut = model.document_probabilities([text] * 3, core=64, edge=64, block=4)
+    assert np.allclose(cut, exact, atol=5e-3)
+
+
+def test_language(spark, odd):
+    rng = random.Random(7)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(20))
+    rows = [(i, make("abcdeé" if i % 2 else "uvwxyzß"), "one" if i % 2 else "two", "s") for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.train(docs, steps=60)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, *_ in rows)
+    held = [(got[i]["lang_pred"] == lang) for i, _, lang, _ in rows if got[i]["held_out"]]
+    assert np.mean(held) > 0.97 and all(0 <= r["score"] <= 1 for r in got.values())
+    other = langid.identify(odd, model).collect()
+    assert len(other) == 11
+    und = {r["doc_id"] for r in other if r["lang_pred"] == "und"}
+    assert und == {2, 3, 4, 9}
+    assert langid.train(empty(spark)) is None and langid.identify(empty(spark), None).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
+
+
+# ---- PII
+
+
+def test_pii(spark, odd):
+    texts = [
+        "Mail a.b@x.example.com or A.B@X.EXAMPLE.COM now", "card 4111 1111 1111 1111, 4111-1111-1111-1111", "Mr. John Smith met Mrs Smith and господин Иван Петров", "call +1 (974) 555-3436 or +1 974-555-3436; ip 152.143.123.131###",
+        'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!! 9233a8ecf7c5b09fe5949719b6b82bc439e9329b', None, "", "nothing $1 \\ here", "tail c@d.io", "a.b@x.example.com",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_pii(df).collect()}
+    assert [got[i]["entities"] for i in range(10)] == [2, 2, 3, 3, 2, 0, 0, 0, 1, 1]
+    assert got[5]["text"] is None and got[6]["text"] == "" and got[7]["text"] == texts[7]
+    mail = got[9]["text"]
+    assert mail != texts[9] and got[0]["text"] == f"Mail {mail} or {mail.upper()} now"  # one entity, one replacement
+    a, b = got[1]["text"][5:].split(", ")
+    assert a.replace(" ", "") == b.replace("-", "") != "4111" * 4
+    digits = [int(c) for c in b.replace("-", "")]
+    assert sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+    male, female, cyrillic = got[2]["text"].replace("Mr. ", "").replace(" met Mrs ", "|").replace(" and господин ", "|").split("|")
+    assert male.split()[0] in pii.GIVEN["latin", "m"] and len(female.split()) == 1 and cyrillic.split()[0] in pii.GIVEN["cyrillic", "m"]
+    assert got[4]["text"].split('"')[1].lower() == got[4]["text"].rsplit(" ", 1)[1]
+    out = pii.replace_pii(odd)
+    assert out.count() == 11 and sorted(out.columns) == sorted(odd.columns)
+    assert pii.replace_pii(empty(spark)).count() == 0
+    assert {r["text"] for r in pii.replace_pii(df, key="other").filter("doc_id = 9").collect()} != {mail}
+
+
+def test_pii_collisions(spark):
+    """Of a space so small that draws collide, every entity still gets its own replacement, and none is an entity."""
+    canon = [f"{i}@a.xy" for i in range(4)]
+    found = pii.resolve(spark.createDataFrame([("email", c) for c in canon], "kind string, canon string"), "k").collect()
+    assert len({r["found"] for r in found}) == 4 and not {r["found"] for r in found} & set(canon)
+    small = spark.createDataFrame([("ssn", str(i)) for i in range(4)], "kind string, canon string")
+    made = {r["found"] for r in pii.resolve(small, "k").collect()}
+    assert len(made) == 4 and not made & set("0123")
+
+
+# ---- token counts
+
+
+def test_counts_are_the_tokenizers(spark, odd):
+    import sentencepiece
+    from tokenizers import Tokenizer, models, normalizers
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=UNIGRAM)
+    special = lambda i: sp.is_control(i) or sp.is_unknown(i)
+    vocab = [(f"\x00{i}" if special(i) else sp.id_to_piece(i), 0.0 if special(i) or sp.is_byte(i) else sp.get_score(i)) for i in range(sp.vocab_size())]
+    tok = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=True))
+    tok.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    rng = random.Random(8)
+    count = tokencount.CountViterbi.of(UNIGRAM)
+    texts = ["", " ", "  a", "x\n\ny", "日本語 ☃", "▁ x", "a▁b", "aa   "] + ["".join(rng.choice("abthe  \nén☃1.日") for _ in range(25)) for _ in range(400)]
+    for text in texts:
+        assert count(text)[0] == (len(tok.encode(text).ids) if text else 0), text
+    rows = tokencount.count_tokens(odd, UNIGRAM).collect()
+    assert len(rows) == 11
+    for r in rows:
+        assert r["token_count"]["tokens"] == (None if r["text"] is None else count(r["text"])[0])
+    assert tokencount.count_tokens(empty(spark), UNIGRAM).count() == 0
+
+
+def test_counts_against_all_segmentations():
+    pieces = {"a": -1.0, "b": -1.0, "ab": -2.0, "ba": -1.5, "▁": -1.0, "▁a": -2.0, "bab": -2.5}
+    count = tokencount.CountViterbi(pieces, bytes_count=True)
+
+    def every(s):
+        if not s:
+            yield 0.0, 0
+        for n in range(1, len(s) + 1):
+            if s[:n] in pieces:
+                for score, k in every(s[n:]):
+                    yield pieces[s[:n]] + score, k + 1
+
+    rng = random.Random(9)
+    for _ in range(60):
+        s = "".join(rng.choice("ab ") for _ in range(7))
+        got = count.best("▁" + s.replace(" ", "▁"))
+        best = max(score for score, _ in every("▁" + s.replace(" ", "▁")))
+        assert abs(got[1] - best) < 1e-9 and got == count(s) or s == ""
