@@ -11,7 +11,7 @@ from lectern.llm.pii import op8_pii
 from lectern.llm.sharding import op10_reshard
 from lectern.llm.simhash import op5_simhash
 from lectern.llm.tokencount import op9_counts
-from lectern.llm.urlfilter import op6_urls
+from lectern.llm.urlfilter import OP6_SQL, op6_urls
 
 QUERIES = {
     "op1_ann": op1_ann,
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_reshard": op10_reshard,
 }
 
-SQL = {"op3_mix": OP3_SQL, "op4_topk": OP4_SQL}
+SQL = {"op3_mix": OP3_SQL, "op4_topk": OP4_SQL, "op6_urls": OP6_SQL}

@@ -121,7 +121,7 @@ def judge(pages: DataFrame, rules=RULES, held: int = 2) -> DataFrame:
     parted = pages.select(*keep, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("rule", rule).withColumn("said", said)
     urls = parted.filter(F.length("url") > 0).groupBy("url").agg(F.first("said").alias("said"))
     urls = materialize(urls.withColumn("symbols", symbols(F.col("url"))), "urls")
-    apart = F.pmod(F.xxhash64(F.lit("held"), "url"), F.lit(10)) < held
+    apart = F.conv(F.substring(F.md5("url"), 1, 8), 16, 10).cast("long") % 10 < held
     decided = urls.filter("said is not null").withColumn("accepted", F.col("said") == "allow").select("url", "symbols", "accepted")
     kinds = {x["accepted"] for x in decided.select("accepted").distinct().collect()}  # two values at most
     if len(kinds) < 2:
@@ -140,3 +140,32 @@ def judge(pages: DataFrame, rules=RULES, held: int = 2) -> DataFrame:
 def op6_urls(spark, sf_dir) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql(rules=RULES) -> str:
+    by_length = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
+    fits = lambda r: f"(host = '{r[0]}' OR ends_with(host, '.{r[0]}')) AND starts_with(path, '{r[1]}')"
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in by_length) + " END"
+    orders = range(1, ORDER + 1)
+    seen = ", ".join(f"s{n} AS (SELECT right(gram, {n}) AS g, sum(a) AS a, sum(r) AS r FROM f GROUP BY 1), c{n} AS (SELECT left(g, {n - 1}) AS c, sum(a) AS na, sum(r) AS nr, count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr FROM s{n} GROUP BY 1)" for n in orders)
+    smooth = lambda p, n, k: f"CASE WHEN coalesce(n{k}, 0) + coalesce(t{k}, 0) > 0 THEN (coalesce(s{n}.{k}, 0) + coalesce(t{k}, 0) * {p}) / (coalesce(n{k}, 0) + coalesce(t{k}, 0))::DOUBLE ELSE {p} END"
+    steps = ", ".join(f"p{n} AS (SELECT gram, {smooth('pa', n, 'a')} AS pa, {smooth('pr', n, 'r')} AS pr FROM p{n - 1} LEFT JOIN s{n} ON s{n}.g = right(gram, {n}) LEFT JOIN c{n} ON c{n}.c = left(right(gram, {n}), {n - 1}))" for n in orders)
+    return f"""
+WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, url, rest, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), '{ASCII_UPPER}', '{ASCII_LOWER}') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+d AS (SELECT *, {case(lambda r: r[0] + r[1])} AS rule, {case(lambda r: r[2])} AS said FROM h),
+q AS (SELECT url, any_value(said) AS said, lower(coalesce(any_value(rest), url)) AS symbols, ('0x' || substr(md5(url), 1, 8))::BIGINT % 10 < 2 AS apart FROM d WHERE length(url) > 0 GROUP BY url),
+g AS (SELECT url, said, apart, substr(repeat(chr(2), {ORDER - 1}) || symbols || chr(3), i::BIGINT, {ORDER}) AS gram FROM (SELECT *, unnest(range(1, length(symbols) + 2)) AS i FROM q)),
+f AS (SELECT gram, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS r FROM g WHERE said IS NOT NULL AND NOT apart GROUP BY 1),
+{seen}, p0 AS (SELECT DISTINCT gram, 1 / 256::DOUBLE AS pa, 1 / 256::DOUBLE AS pr FROM g WHERE said IS NULL OR apart), {steps},
+sc AS (SELECT url, any_value(said) AS said, sum(ln(pa / pr)) / count(*) AS score FROM g JOIN p{ORDER} USING (gram) GROUP BY 1),
+b AS (SELECT least(greatest(floor((score + 8) / 16 * 1024), 0), 1023)::INT AS bin, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS r FROM sc WHERE said IS NOT NULL GROUP BY 1),
+k AS (SELECT k.bin, coalesce(sum(a) FILTER (b.bin < k.bin), 0) AS below_a, coalesce(sum(r) FILTER (b.bin < k.bin), 0) AS below_r, sum(a) AS all_a, sum(r) AS all_r FROM (SELECT unnest(range(1025)) AS bin) k, b GROUP BY 1),
+e AS (SELECT bin, (1 - below_a / all_a::DOUBLE + below_r / all_r::DOUBLE) / 2 AS rate FROM k),
+m AS (SELECT list(bin ORDER BY bin) AS best FROM e WHERE rate = (SELECT max(rate) FROM e)),
+x AS (SELECT -8 + 16 * best[len(best) // 2 + 1] / 1024::DOUBLE AS cut FROM m)
+SELECT page_id, host, path, rule, coalesce(d.said, CASE WHEN sc.score < cut THEN 'block' ELSE 'allow' END) AS verdict FROM d LEFT JOIN sc ON d.url = sc.url, x
+"""
+
+
+OP6_SQL = _sql()
