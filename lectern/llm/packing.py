@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import os
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,14 @@ class WordTokenizer:
 
     _of: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str, keep: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 1_500_000, longest: int = 64, short: int = 12):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.keep, self.longest = keep, longest
+        self.keep, self.longest, self.short = keep, longest, short
+        self.marks = {m: np.asarray(self.inner.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,;:!?"}
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -57,15 +59,30 @@ class WordTokenizer:
         if len(self.known) > self.keep:
             self.known.clear()
         known = self.known
-        new = list(set().union(*cut) - known.keys())
-        for e, word in zip(self.inner.encode_batch_fast(new, add_special_tokens=False), new):
-            known[word] = np.asarray(e.ids, "<u4").tobytes()
+        new = set().union(*cut).difference(known)
+        stems = {word: self._stem(word) for word in new}
+        missing = list({stem for stem, _ in stems.values()}.difference(known))
+        for e, stem in zip(self.inner.encode_batch_fast(missing, add_special_tokens=False), missing):
+            known[stem] = np.asarray(e.ids, "<u4").tobytes()
+        for word, (stem, mark) in stems.items():
+            known[word] = known[stem] + (self.marks[mark] if mark else b"")
         ids = [b"".join(map(known.__getitem__, words)) for words in cut]
-        for word in new:
-            if len(word) > self.longest:
-                del known[word]
+        for word in [w for w, (s, _) in stems.items() if w != s and len(w) > self.short] + [s for s in missing if len(s) > self.longest]:
+            known.pop(word, None)
         return ids
 
+    def _stem(self, word: str) -> tuple[str, str]:
+        """The word in lower case and without one closing mark, and that mark, where the tokenizer surely sees it so.
+
+        It lowers letter by letter after composing, and a single mark after a letter or digit is a token run of its own.
+        """
+        if "<" in word or not (word.isascii() or ("Σ" not in word and is_normalized("NFC", word))):
+            return word, ""
+        low = word.lower()
+        if len(low) > 1 and low[-1] in self.marks and low[-2].isalnum():
+            return low[:-1], low[-1]
+        return low, ""
+
 
 def place(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, open_windows: int) -> Iterator[pa.RecordBatch]:
     """Pieces of one partition; those with window -1 are left over, their offset counting from the partition's first."""
