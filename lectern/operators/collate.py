@@ -29,3 +29,10 @@ def collate(rows: DataFrame, batch: str, order: str, ids: str = "ids", left: boo
     made = rows.groupBy(batch).agg(F.max(F.size(ids)).alias("longest"), F.array_sort(F.collect_list(F.struct(order, ids))).alias("rows"))
     padded = F.transform("rows", lambda r: pad(r[ids], F.col("longest"), left=left))
     return made.select(batch, "longest", padded.alias("input_ids")).withColumn("attention_mask", F.transform("input_ids", attention))
+
+
+def stack(batches: DataFrame, group: str, order: str, ids: str = "input_ids", value: int = 0) -> DataFrame:
+    """Padded batches (arrays of equally long arrays) laid on one another, all padded to the longest of the group."""
+    made = batches.groupBy(group).agg(F.max(F.size(F.col(ids)[0])).alias("longest"), F.array_sort(F.collect_list(F.struct(order, ids))).alias("parts"))
+    rows = F.flatten(F.transform("parts", lambda p: p[ids]))
+    return made.select(group, "longest", F.transform(rows, lambda r: pad(r, F.col("longest"), value)).alias(ids))

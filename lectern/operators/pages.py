@@ -38,3 +38,10 @@ def page_fold(contexts: DataFrame, ends: DataFrame, keys: list[str], frame: str
 def link_pages(ends: DataFrame, screenshots: DataFrame, keys: list[str]) -> DataFrame:
     """Page to the path of its last screenshot; null where the image is absent."""
     return ends.join(screenshots.withColumnRenamed("screenshot_id", "page_end"), [*keys, "page_end"], "left")
+
+
+def with_crops(pages: DataFrame, crops: DataFrame, keys: list[str]) -> DataFrame:
+    """Each page image with its region crops, in region order; a page without crops gets an empty array."""
+    listed = crops.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("aoi_idx", "path"))).alias("c"))
+    made = pages.join(listed.select(*keys, F.transform("c", lambda x: x["path"]).alias("crops")), keys, "left")
+    return made.withColumn("crops", F.coalesce("crops", F.array().cast("array<string>")))

@@ -29,3 +29,8 @@ def whole_source(primary: DataFrame, fallback: DataFrame, page: list[str]) -> Da
     """All rows of a page from ``primary`` if it has the page at all, else from ``fallback``; never mixed within a page."""
     pages = primary.select(*page).distinct()
     return primary.unionByName(fallback.join(pages, page, "left_anti"))
+
+
+def best_stream(streams: DataFrame, media: list[str]) -> DataFrame:
+    """The audio stream with the highest bit rate of each medium."""
+    return streams.groupBy(*media).agg(F.max_by(F.struct(*[c for c in streams.columns if c not in media]), "bitrate").alias("s")).select(*media, "s.*")

@@ -88,3 +88,8 @@ def with_missing(expected: DataFrame, found: DataFrame, keys: list[str]) -> Data
 
 def cardinality(files: DataFrame, *keys: str) -> DataFrame:
     return files.groupBy(*keys).agg(F.count("*").alias("files"))
+
+
+def playlist(spark: SparkSession, entries: list[tuple[str, str]]) -> DataFrame:
+    """url, name of configured playlists. Listing a remote playlist and downloading its media are left to a connector."""
+    return spark.createDataFrame(entries, "url string, name string")
