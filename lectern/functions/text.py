@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Words that ban a title, and the mark that ends a description.
 BLACKLIST = ("QA", "TA", "Homework", "助教", "Guest")
 END_MARK = "[END]"
 
@@ -82,6 +83,7 @@ def valid_model_output(raw: Column, boxes: Column) -> Column:
     return (F.size(F.split(raw, "Image ")) - 1 == boxes) & ~F.exists(F.split(raw, "Image "), lambda c: c.contains(": [END]"))
 
 
+# What stands around the label in an answer.
 ANSWER_HEAD, ANSWER_TAIL = '最可能對應的是:"', '"'
 
 

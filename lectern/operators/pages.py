@@ -20,19 +20,21 @@ def page_asof(contexts: DataFrame, ends: DataFrame, keys: list[str], frame: str
 def page_fold(contexts: DataFrame, ends: DataFrame, keys: list[str], frame: str = "screenshot_id") -> DataFrame:
     """As the step-by-step reader does it: one page further at most for each context, so it lags where contexts skip pages.
 
-    Folds over one video's ordered frames; a page past the last is null.
+    Page p is left at context t(p), the first past its end but not before t(p - 1) + 1. With f(p) contexts up to the end of p that
+    is p + max over q <= p of f(q) - q, a running maximum; a context's page is 1 and the pages left by then.
     """
-    pages = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("page", "page_end"))).alias("ends"))
-    frames = contexts.groupBy(*keys).agg(F.array_sort(F.collect_list(frame)).alias("frames"))
-    start = F.struct(F.lit(1).alias("page"), F.array().cast("array<struct<id:bigint,page:int>>").alias("out"))
-
-    def step(state, f):
-        end = F.try_element_at(F.col("ends"), state["page"])["page_end"]
-        page = F.when(f > end, state["page"] + 1).otherwise(state["page"])
-        return F.struct(page.alias("page"), F.concat(state["out"], F.array(F.struct(f.cast("bigint").alias("id"), page.alias("page")))).alias("out"))
-
-    folded = frames.join(pages, keys).select(*keys, F.explode(F.aggregate("frames", start, step)["out"]).alias("o"))
-    return folded.select(*keys, F.col("o.id").alias(frame), F.col("o.page").alias("page"))
+    before = Window.unboundedPreceding, Window.currentRow
+    k = F.row_number().over(Window.partitionBy(*keys).orderBy(frame)) - 1
+    seen = contexts.select(*keys, F.col(frame).alias("__frame"), k.alias("__k"))
+    marks = seen.select(*keys, F.col("__frame").alias("__at"), F.lit(0).alias("__end"), F.lit(None).cast("int").alias("page"))
+    marks = marks.unionByName(ends.select(*keys, F.col("page_end").alias("__at"), F.lit(1).alias("__end"), "page"))
+    upto = F.sum(1 - F.col("__end")).over(Window.partitionBy(*keys).orderBy("__at", "__end").rowsBetween(*before))
+    passed = marks.withColumn("__f", upto).filter("__end = 1")
+    left = passed.select(*keys, (F.col("page") + F.max(F.col("__f") - F.col("page")).over(Window.partitionBy(*keys).orderBy("page").rowsBetween(*before))).alias("__t"))
+    line = seen.select(*keys, F.col("__k").cast("bigint").alias("__t"), "__frame").unionByName(left.withColumn("__frame", F.lit(None).cast(seen.schema["__frame"].dataType)))
+    order = Window.partitionBy(*keys).orderBy("__t", F.col("__frame").asc_nulls_first()).rowsBetween(*before)
+    page = 1 + F.sum(F.col("__frame").isNull().cast("int")).over(order)
+    return line.withColumn("page", page.cast("int")).filter("__frame is not null").select(*keys, F.col("__frame").alias(frame), "page")
 
 
 def link_pages(ends: DataFrame, screenshots: DataFrame, keys: list[str]) -> DataFrame:

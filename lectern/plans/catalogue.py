@@ -125,13 +125,13 @@ def q07_page_asof(spark, sf):
     return pages.page_asof(table(spark, sf, "events").select("event_type", "event_id"), _ends(spark, sf), ["event_type"], "event_id").select("event_id", "page")
 
 
-@query(_FRAMES.replace("WITH e AS", "WITH RECURSIVE e AS") + """, s AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events WHERE event_id % 5 = 0),
+@query(_FRAMES.replace("WITH e AS", "WITH RECURSIVE e AS") + """, s AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events),
 f AS (SELECT event_type, 0::BIGINT AS r, NULL::BIGINT AS event_id, 1 AS page FROM (SELECT DISTINCT event_type FROM s)
 UNION ALL SELECT s.event_type, s.r, s.event_id, CASE WHEN s.event_id > n.page_end THEN f.page + 1 ELSE f.page END
 FROM f JOIN s ON s.event_type = f.event_type AND s.r = f.r + 1 LEFT JOIN n ON n.event_type = f.event_type AND n.page = f.page)
 SELECT event_type, event_id, page FROM f WHERE r > 0""")
 def q08_page_fold(spark, sf):
-    some = table(spark, sf, "events").filter("event_id % 5 = 0").select("event_type", "event_id")
+    some = table(spark, sf, "events").select("event_type", "event_id")
     return pages.page_fold(some, _ends(spark, sf), ["event_type"], "event_id")
 
 
@@ -201,7 +201,7 @@ def q12_overlap_suppress(spark, sf):
     return B.reindex(B.suppress_contained(_boxes(spark, sf), ["page"]), ["page"]).select("page", "det_idx", "aoi_idx")
 
 
-@query(_BOXES + """, pt AS (SELECT page, det_idx AS pt, (x1 + x2) / 2 AS px, (y1 + y2) / 2 AS py FROM b WHERE det_idx % 7 = 0),
+@query(_BOXES + """, pt AS (SELECT page, det_idx AS pt, (x1 + x2) / 2 AS px, (y1 + y2) / 2 AS py FROM b),
 h AS (SELECT pt.page, pt.pt, b.det_idx, sqrt((px - (x1 + x2) / 2) * (px - (x1 + x2) / 2) + (py - (y1 + y2) / 2) * (py - (y1 + y2) / 2)) AS d
 FROM pt JOIN b ON pt.page = b.page AND pt.pt <> b.det_idx AND px BETWEEN x1 - (x2 - x1) * 0.2::DOUBLE AND x2 + (x2 - x1) * 0.2::DOUBLE AND py BETWEEN y1 - (y2 - y1) * 0.2::DOUBLE AND y2 + (y2 - y1) * 0.2::DOUBLE),
 r AS (SELECT *, row_number() OVER (PARTITION BY page, pt ORDER BY d, det_idx) AS r FROM h)
@@ -209,13 +209,13 @@ SELECT pt.page, pt.pt, coalesce(r.det_idx, -1)::BIGINT AS ans FROM pt LEFT JOIN
 def q13_laser_nearest(spark, sf):
     held = _boxes(spark, sf).withColumnRenamed("det_idx", "aoi_idx")
     px, py = G.centre(G.Box.named())
-    points = held.filter("aoi_idx % 7 = 0").select("page", F.col("aoi_idx").alias("pt"), px.alias("px"), py.alias("py"))
+    points = held.select("page", F.col("aoi_idx").alias("pt"), px.alias("px"), py.alias("py"))
     return B.nearest_box(points, held, ["page"], ["pt"], exclude=F.col("aoi_idx") != F.col("pt")).select("page", "pt", "ans")
 
 
-@query("""SELECT vec_id, list_filter(list_transform(embedding[1:8], lambda x: x::DOUBLE), lambda x: x > 0)[-1] AS last_conf, list_max(list_filter(list_transform(embedding[1:8], lambda x: x::DOUBLE), lambda x: x > 0)) AS top_conf FROM embeddings""")
+@query("""SELECT vec_id, list_filter(list_transform(embedding, lambda x: x::DOUBLE), lambda x: x > 0)[-1] AS last_conf, list_max(list_filter(list_transform(embedding, lambda x: x::DOUBLE), lambda x: x > 0)) AS top_conf FROM embeddings""")
 def q14_last_positive(spark, sf):
-    conf = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    conf = F.transform("embedding", lambda x: x.cast("double"))
     found = B.zip_detections(conf, F.transform(conf, lambda x: F.array(x)), conf)
     return table(spark, sf, "embeddings").select("vec_id", B.last_positive(found)["conf"].alias("last_conf"), B.strongest(found)["conf"].alias("top_conf"))
 
@@ -241,14 +241,14 @@ def q30_phash_hamming(spark, sf):
 
 
 def _raw(spark, sf) -> DataFrame:
-    turns = table(spark, sf, "conversations").filter("turn < 3")
+    turns = table(spark, sf, "conversations")
     chunk = F.concat(F.lit("\n\nImage "), (F.col("turn") % 2).cast("string"), F.lit(": **"), F.col("text"), F.lit("**\n[END]"))
     parts = F.array_sort(F.collect_list(F.struct("turn", chunk.alias("c"))))
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["c"]), "").alias("raw"))
 
 
 _FOUND = r"""WITH f AS (SELECT conv_id, (turn % 2)::INT AS k, arg_max(regexp_replace(regexp_replace(regexp_replace('**' || text || '**', '^\s+|\s+$', '', 'g'), '^\*+|\*+$', '', 'g'), '^\s+|\s+$', '', 'g'), turn) AS body
-FROM conversations WHERE turn < 3 GROUP BY 1, 2) """
+FROM conversations GROUP BY 1, 2) """
 
 
 @query(_FOUND + "SELECT conv_id, k, body FROM f")
@@ -322,34 +322,34 @@ def q24_titles(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.sanitize_title(F.col("url")).alias("clean"), T.stem_first(base).alias("stem"), T.stem_last(base).alias("stem_last"), base.alias("base"), T.allowed_title(F.col("url")).alias("allowed"))
 
 
-@query(r"""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS i, turn * 1500 AS start_ms, turn * 1500 + 1250 AS end_ms, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM conversations WHERE turn < 3""")
+@query(r"""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS i, turn * 1500 AS start_ms, turn * 1500 + 1250 AS end_ms, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM conversations""")
 def q25_srt_render_parse(spark, sf):
     flat = F.regexp_replace("text", r"\s+", " ")
-    cues = table(spark, sf, "conversations").filter("turn < 3").select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("i"), (F.col("turn") * 1.5).alias("start"), (F.col("turn") * 1.5 + 1.25).alias("end"), flat.alias("text"))
+    cues = table(spark, sf, "conversations").select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("i"), (F.col("turn") * 1.5).alias("start"), (F.col("turn") * 1.5 + 1.25).alias("end"), flat.alias("text"))
     return readers.parse_cues(sinks.render_srt(cues, "conv_id"), "conv_id")
 
 
 def _codes(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.transform(F.filter(F.split(F.substring("text", 1, 12), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint")).alias("ids"))
+    pages_ = table(spark, sf, "pages")
+    return pages_.select("page_id", F.transform(F.filter(F.split("url", ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint")).alias("ids"))
 
 
-@query("""WITH c AS (SELECT doc_id, doc_id // 8 AS batch, list_transform(string_split(text[1:12], ''), lambda x: unicode(x)::BIGINT) AS ids FROM documents),
+@query("""WITH c AS (SELECT page_id // 8 AS batch, list_transform(string_split(url, ''), lambda x: unicode(x)::BIGINT) AS ids FROM pages),
 b AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS longest FROM c)
 SELECT batch, max(longest)::INT AS longest, count(*)::INT AS n_rows, sum(list_sum(ids))::BIGINT AS total, sum(len(ids))::BIGINT AS kept, sum(longest - len(ids))::BIGINT AS padding FROM b GROUP BY 1""")
 def q26_pad_collate(spark, sf):
-    made = C.collate(_codes(spark, sf).withColumn("batch", F.expr("doc_id div 8")), "batch", "doc_id")
+    made = C.collate(_codes(spark, sf).withColumn("batch", F.expr("page_id div 8")), "batch", "page_id")
     flat, mask = F.flatten("input_ids"), F.flatten("attention_mask")
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
     return made.select("batch", "longest", F.size("input_ids").alias("n_rows"), total(flat).alias("total"), total(mask).alias("kept"), (F.size(flat).cast("bigint") - total(mask)).alias("padding"))
 
 
-@query("""WITH c AS (SELECT doc_id, list_transform(string_split(text[1:12], ''), lambda x: unicode(x)::BIGINT) AS ids, (doc_id % 30)::INT AS p FROM documents),
-l AS (SELECT doc_id, p, list_concat(list_transform(range(p), lambda x: -100::BIGINT), ids)[1:20] AS labels FROM c)
-SELECT doc_id, len(labels)::INT AS n, CASE WHEN p >= 20 THEN 19 * -100 + 50256 ELSE list_sum(labels) END::BIGINT AS total FROM l""")
+@query("""WITH c AS (SELECT page_id, list_transform(string_split(url, ''), lambda x: unicode(x)::BIGINT) AS ids, (page_id % 60)::INT AS p FROM pages),
+l AS (SELECT page_id, p, list_concat(list_transform(range(p), lambda x: -100::BIGINT), ids)[1:50] AS labels FROM c)
+SELECT page_id, len(labels)::INT AS n, CASE WHEN p >= 50 THEN 49 * -100 + 50256 ELSE list_sum(labels) END::BIGINT AS total FROM l""")
 def q27_label_mask(spark, sf):
-    made = _codes(spark, sf).select("doc_id", C.labels((F.col("doc_id") % 30).cast("int"), F.col("ids"), F.lit(50256), 20).alias("labels"))
-    return made.select("doc_id", F.size("labels").alias("n"), F.aggregate("labels", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("total"))
+    made = _codes(spark, sf).select("page_id", C.labels((F.col("page_id") % 60).cast("int"), F.col("ids"), F.lit(50256), 50).alias("labels"))
+    return made.select("page_id", F.size("labels").alias("n"), F.aggregate("labels", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("total"))
 
 
 @query("SELECT lang, round(avg((CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE lang END = lang)::INT), 6) AS acc FROM documents GROUP BY 1")

@@ -17,5 +17,5 @@ PREDICTIONS = "sample_id bigint, course string, aoi_count int, answer string, ou
 MISSING_SRT = "course string, video_id string, video_name string"
 VLM_INDEX = "map<string,struct<course:string,video:string,page:string>>"
 
-#: Class numbers of page regions, in order.
+# Class names of page regions, by number.
 CLASSES = ("image", "math", "plot", "table", "text", "title")

@@ -74,6 +74,26 @@ def test_g3_pages(spark):
     assert a == {r["screenshot_id"]: r["page"] for r in pages.page_fold(dense, ends, ["video"]).collect()}
 
 
+def test_page_fold_against_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    ends, frames, want = [], [], {}
+    for v in range(8):
+        last = sorted(rng.sample(range(1, 60), 8))
+        if v % 2:
+            rng.shuffle(last)  # ends need not rise
+        ends += [(f"v{v}", p + 1, e) for p, e in enumerate(last)]
+        page = 1
+        for i in sorted(rng.sample(range(1, 70), 25)):
+            if page <= len(last) and i > last[page - 1]:
+                page += 1
+            frames.append((f"v{v}", i))
+            want[f"v{v}", i] = page
+    got = pages.page_fold(spark.createDataFrame(frames, "video string, screenshot_id int"), spark.createDataFrame(ends, "video string, page int, page_end int"), ["video"])
+    assert {(r["video"], r["screenshot_id"]): r["page"] for r in got.collect()} == want
+
+
 def test_g4_laser(spark):
     schema = "k int, cls array<double>, xywh array<array<double>>, conf array<double>"
     rows = [(1, [0.0, 0.0, 0.0], [[40.0, 40.0, 20.0, 10.0], [100.0, 100.0, 20.0, 20.0], [1.0, 1.0, 1.0, 1.0]], [0.9, 0.3, 0.0]), (2, [], [], []), (3, [0.0], [[1.0, 1.0, 1.0, 1.0]], [0.0])]
