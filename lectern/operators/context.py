@@ -31,11 +31,18 @@ def _monotone(cues: DataFrame, keys: list[str], band: int, i: str, mid: str) ->
 
 
 def _exact(cues: DataFrame, keys: list[str], band: int, i: str, mid: str) -> DataFrame:
-    """Outward from each cue until the band breaks; a timeline is one video, so its cues fit in a row."""
-    line = cues.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(i).alias("i"), F.col(mid).alias("mid")))).alias("line"))
-    each = line.select(*keys, "line", F.posexplode("line").alias("at", "c")).select(*keys, "line", "at", F.col("c.i").alias(i), F.col("c.mid").alias(mid))
-    out = lambda c: F.abs(c["mid"] - F.col(mid)) > band
-    before, after = F.slice("line", F.lit(1), F.col("at")), F.slice("line", F.col("at") + 2, F.size("line"))
-    far = F.aggregate(F.transform(before, lambda c, k: F.when(out(c), k).otherwise(F.lit(-1))), F.lit(-1), lambda a, b: F.greatest(a, b))
-    stop = F.aggregate(F.transform(after, lambda c, k: F.when(out(c), k).otherwise(F.size("line"))), F.size("line"), lambda a, b: F.least(a, b))
-    return each.withColumn("previous", F.slice(before, far + 2, F.size("line"))).withColumn("next", F.slice(after, F.lit(1), stop))
+    """Outward from each cue until the band breaks; a timeline is one video, so its cues fit in a row. A run is no longer
+    than the number of cues inside the band, wherever they stand, and no more than that many are looked at on either side."""
+    inside = F.count("*").over(Window.partitionBy(*keys).orderBy(mid).rangeBetween(-band, band))
+    line = cues.withColumn("__n", inside).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(i).alias("i"), F.col(mid).alias("mid"), F.col("__n").cast("int").alias("n")))).alias("line"))
+
+    def around(c, at):
+        reach = F.least(at, c["n"])
+        before, after = F.slice("line", at - reach + 1, reach), F.slice("line", at + 2, c["n"])
+        out = lambda x: F.abs(x["mid"] - c["mid"]) > band
+        far = F.aggregate(F.transform(before, lambda x, k: F.when(out(x), k).otherwise(F.lit(-1))), F.lit(-1), lambda a, b: F.greatest(a, b))
+        stop = F.aggregate(F.transform(after, lambda x, k: F.when(out(x), k).otherwise(F.size(after))), F.size(after), lambda a, b: F.least(a, b))
+        pair = lambda a: F.transform(a, lambda x: F.struct(x["i"].alias("i"), x["mid"].alias("mid")))
+        return F.struct(c["i"].alias(i), c["mid"].alias(mid), pair(F.slice(before, far + 2, F.size(before))).alias("previous"), pair(F.slice(after, F.lit(1), stop)).alias("next"))
+
+    return line.select(*keys, F.explode(F.transform("line", around)).alias("c")).select(*keys, "c.*")
