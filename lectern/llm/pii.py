@@ -36,7 +36,7 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Order matters: the first pattern that fits a place takes it. Repeats are possessive or bounded, so no text makes them backtrack far.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}+",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?=[a-f]*+\d)[0-9a-f]{32,128}+|(?=[A-F]*+\d)[0-9A-F]{32,128}+)(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d)",
@@ -46,6 +46,12 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+def may_hold(text: Column) -> Column:
+    """A cheap test that every text with an entity passes: all patterns need a digit, an @ or an honorific."""
+    literals = [w for w in MALE + FEMALE if not any(o != w and o in w for o in MALE + FEMALE)]
+    return reduce(lambda a, w: a | text.contains(w), literals, text.rlike(r"[\d@]"))
+
+
 def kind_of(value: Column) -> Column:
     return reduce(lambda rest, t: F.when(value.rlike(f"^(?:{PATTERNS[t]})$"), t).otherwise(rest), reversed(PATTERNS), F.lit(None).cast("string"))
 
@@ -151,7 +157,7 @@ def resolve(entities: DataFrame, key: str) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str = "lectern") -> DataFrame:
     """``docs`` with rewritten text and ``entities`` (how many were replaced). ``key`` is the secret of the replacements."""
     names = [c for c in docs.columns if c != "entities"]
-    hit = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    hit = F.coalesce(may_hold(F.col("text")) & F.col("text").rlike(ANY), F.lit(False))
     lists = docs.filter(hit).select(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("values"))
     group = lambda values: F.md5(F.array_join(values, "\n"))  # noqa: E731  no entity holds a line end
     lists = materialize(lists.groupBy(group(F.col("values")).alias("g")).agg(F.first("values").alias("values")), "lists")
