@@ -1,0 +1,113 @@
+"""The near-duplicate stage of the corpus pipeline against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from lectern.llm import jaccard
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, pairs, parts=3):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in pairs], DOCS).repartition(parts)
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def near(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def groups(pairs):
+    """Root of each row: components of exact five-word similarity of 0.8 or more."""
+    sets = [shingles(t) for _, t in pairs]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if near(sets[i], sets[j]):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def kept(pairs):
+    best = {}
+    for (i, t), g in zip(pairs, groups(pairs)):
+        best.setdefault(g, []).append((i is None, i or 0))
+    return sorted(min(rows) for rows in best.values())
+
+
+def planted(seed=3, groups_of=(40, 12, 3, 2, 2), strangers=60):
+    """Copies of a text with 0 to 8 words changed, around and beyond 0.8, and strangers with one line in common."""
+    rng = random.Random(seed)
+    prose = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    line = "this line stands in very many of the texts here".split()
+    texts = [prose(rng.randrange(20, 90)) + line for _ in range(strangers)]
+    for size in groups_of:
+        base = prose(rng.randrange(60, 160))
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 9)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            texts.append(copy)
+    return list(enumerate(" ".join(t) for t in rng.sample(texts, len(texts))))
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_deduplicate_is_exact(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard.representatives, "__defaults__", (block,))
+    pairs = planted()
+    want = kept(pairs)
+    assert 60 < len(want) < len(pairs) - 10
+    got = corpus_pipeline.deduplicate(spark, frame(spark, pairs), "").collect()
+    assert sorted((False, r["doc_id"]) for r in got) == want
+
+
+def test_three_word_links_are_no_near_duplicates(spark):
+    """A text with every fifth word or so changed is no near copy, whatever the fingerprints say; one with two words changed is."""
+    words = [f"v{i}" for i in range(100)]
+    far = [f"y{i}" if i % 6 == 0 else w for i, w in enumerate(words)]
+    close = [f"z{i}" if i in (50, 51) else w for i, w in enumerate(words)]
+    pairs = [(1, " ".join(words)), (2, " ".join(far)), (3, " ".join(close))]
+    got = corpus_pipeline.deduplicate(spark, frame(spark, pairs), "").collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2]
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    common = np.sort(rng.integers(0, 2000, 300).astype(np.uint64))
+    met = 0
+    for _ in range(2000):
+        a = np.unique(rng.integers(0, 2000, rng.integers(1, 60)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 2000, rng.integers(0, 6)).astype(np.uint64)]))
+        if len(b) and jaccard.similar(a, b):
+            met += 1
+            assert np.intersect1d(jaccard.prefix(a, common), jaccard.prefix(b, common)).size
+            assert jaccard.sketches_agree(jaccard.sketch(a), jaccard.sketch(b))
+    assert met > 300
+
+
+def test_sketches_of_all_widths_agree():
+    """No similar pair is ruled out, also where the two bitmaps have different widths; strangers are."""
+    rng = np.random.default_rng(6)
+    for n in (3, 500, 512, 513, 1000, 1030, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 20 :], rng.integers(0, 2**63, n // 12).astype(np.uint64)]))
+        c = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        assert jaccard.similar(a, b) and not jaccard.similar(a, c)
+        marks = [jaccard.sketch(x) for x in (a, b, c)]
+        assert jaccard.sketches_agree(marks[0], marks[1]) and not jaccard.sketches_agree(marks[0], marks[2])
+        one, two = jaccard.may_be_similar(np.arange(3), np.arange(3), marks, np.arange(3), rows := np.arange(3))
+        found = {frozenset(p) for p in zip(np.concatenate(one).tolist(), np.concatenate(two).tolist()) if p[0] != p[1]}
+        assert found == {frozenset((0, 1))} and len(rows) == 3
