@@ -32,23 +32,34 @@ SYLLABLES = {
     "latin": ["ba", "be", "bo", "da", "de", "do", "ga", "ge", "ka", "ke", "ko", "la", "le", "lo", "ma", "me", "mo", "na", "ne", "no", "ra", "re", "ro", "sa", "se", "so", "ta", "te", "to", "va", "ve", "vo"],
     "cyrillic": ["ба", "бо", "ва", "во", "га", "го", "да", "до", "за", "ка", "ко", "ла", "ло", "ма", "мо", "на", "но", "па", "по", "ра", "ро", "са", "со", "та", "то", "фа"],
 }
+#: One name word: an initial, or letters with hyphens and apostrophes; small particles may stand before it.
+NAME = r"(?:(?:van|von|der|den|de|del|di|da|dos|la|le|el|al|bin) ){0,3}\p{Lu}(?:\.|[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+)"
+HEX4 = "[0-9A-Fa-f]{1,4}"
+#: What tokens of common services start with, and what follows.
+TOKENS = {
+    "(?:AKIA|ASIA)": "[0-9A-Z]{16}", "gh[pousr]_": "[A-Za-z0-9]{36,}+", "github_pat_": "[A-Za-z0-9_]{22,}+", "glpat-": "[A-Za-z0-9_-]{20,}+", "xox[abeprs]-": "[A-Za-z0-9-]{10,}+",
+    "(?:sk|pk|rk)_(?:live|test)_": "[A-Za-z0-9]{16,}+", "sk-": "[A-Za-z0-9_-]{20,}+", "AIza": "[0-9A-Za-z_-]{35}", "eyJ": r"[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
+}
+TOKEN_STARTS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "_live_", "_test_", "sk-", "AIza", "eyJ"]
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Order matters: the first pattern that fits a place takes it. Repeats are possessive or bounded, so no text makes them backtrack far.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}+",
-    "secret": r"(?<![\p{L}\p{N}])(?:(?=[a-f]*+\d)[0-9a-f]{32,128}+|(?=[A-F]*+\d)[0-9A-F]{32,128}+)(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?=[a-f]*+\d)[0-9a-f]{32,}+|(?=[A-F]*+\d)[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
+    "token": rf"(?<![\p{{L}}\p{{N}}_-])(?:{'|'.join(a + b for a, b in TOKENS.items())})(?![\p{{L}}\p{{N}}_-])",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]*+\d)(?:(?:{HEX4}:){{7}}{HEX4}|(?:{HEX4}:){{1,6}}(?::{HEX4}){{1,6}}|(?:{HEX4}:){{1,7}}:|:(?::{HEX4}){{1,7}})(?![\p{{L}}\p{{N}}:])",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    "person": rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}[\p{{Ll}}\p{{M}}]++(?: \p{{Lu}}[\p{{Ll}}\p{{M}}]++)?",
+    "card": r"(?<!\d)(?:\d{4}(?:[ -]?\d{4}){3}|3[47]\d\d[ -]?\d{6}[ -]?\d{5}|3(?:0[0-5]|[689]\d)\d[ -]?\d{6}[ -]?\d{4}|4\d{12}|[4-6]\d{3}(?:[ -]?\d{4}){3}[ -]?\d{1,3})(?!\d)",
+    "phone": r"(?<![\d+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+(?=[1-9](?:[ .()-]{0,2}\d){6,14}(?!\d))\d{1,3}(?:[ .-]?(?:\(\d{1,4}\) ?)?\d{1,12}){1,6}(?!\d))",
+    "person": rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE)})\.? {NAME}(?: {NAME})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
 def may_hold(text: Column) -> Column:
-    """A cheap test that every text with an entity passes: all patterns need a digit, an @ or an honorific."""
-    literals = [w for w in MALE + FEMALE if not any(o != w and o in w for o in MALE + FEMALE)]
+    """A cheap test that every text with an entity passes: all patterns need a digit, an @, an honorific or the start of a token."""
+    literals = TOKEN_STARTS + [w for w in MALE + FEMALE if not any(o != w and o in w for o in MALE + FEMALE)]
     return reduce(lambda a, w: a | text.contains(w), literals, text.rlike(r"[\d@]"))
 
 
@@ -59,8 +70,13 @@ def kind_of(value: Column) -> Column:
 def canonical(kind: Column, value: Column) -> Column:
     names = F.regexp_replace(value, r"^\S+ ", "")
     woman = value.rlike(rf"^(?:{'|'.join(FEMALE)})\.? ")
+    halves = F.split(F.lower(value), "::")
+    groups = [F.filter(F.split(h, ":"), lambda g: g != "") for h in (halves[0], F.coalesce(F.get(halves, F.lit(1)), F.lit("")))]
+    zeros = F.array_repeat(F.lit("0"), 8 - F.size(groups[0]) - F.size(groups[1]))
+    full = F.array_join(F.transform(F.concat(groups[0], zeros, groups[1]), lambda g: F.lpad(g, 4, "0")), ":")
     return (
         F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(value, r"\D", ""))
+        .when(kind == "ipv6", full).when(kind == "token", value)
         .when(kind == "person", F.concat(F.when(woman, "f ").otherwise("m "), names))
         .otherwise(F.lower(value))
     )
@@ -80,7 +96,7 @@ def luhn(digits: Column) -> Column:
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """Keyed replacement of a canonical form, of its type and format; other attempts give other replacements."""
     block = lambda part, of: F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), part.cast("string"), of), 512)
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), (F.length(canon) / 64).cast("int")), lambda k: block(k, canon)), "")
+    stream = F.array_join(F.transform(F.sequence(F.lit(0), (F.length(canon) / 64).cast("int")), lambda k: block(k, F.sha2(canon, 256))), "")
     byte = lambda i: F.conv(F.substring(stream, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
     drawn = lambda hexed, at, size: F.pmod(F.conv(F.substring(hexed, at, 8), 16, 10).cast("long"), F.lit(size)).cast("int")
     digit = lambda i: (byte(i) % 10).cast("string")
@@ -88,7 +104,11 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     letter = lambda c, i: F.when(c.rlike(r"\p{IsCyrillic}"), point(0x430, 32, i)).when(c.rlike(r"\p{IsGreek}"), point(0x3B1, 17, i)).otherwise(point(0x61, 26, i))
     tail = F.length(canon) - F.length(F.substring_index(canon, ".", -1))
     email = F.transform(chars(canon), lambda c, i: F.when(i >= tail, c).when(c.rlike(r"\p{N}"), digit(i)).when(c.rlike(r"\p{L}"), letter(c, i)).otherwise(c))
-    secret = F.transform(chars(canon), lambda c, i: F.substring(stream, (i + 1).cast("int"), F.lit(1)))
+    secret = F.substring(stream, F.lit(1), F.length(canon))
+    ipv6 = F.transform(chars(canon), lambda c, i: F.when(c == ":", c).otherwise(F.substring(stream, (i + 1).cast("int"), F.lit(1))))
+    start = F.length(F.regexp_extract(canon, f"^(?:{'|'.join(TOKENS)})", 0))
+    upper = lambda c, i: F.when(c.rlike("[A-Z]"), point(0x41, 26, i)).when(c.rlike("[a-z]"), point(0x61, 26, i)).when(c.rlike("[0-9]"), digit(i)).otherwise(c)
+    token = F.transform(chars(canon), lambda c, i: F.when(i < start, c).otherwise(upper(c, i)))
     octets = F.transform(F.split(canon, r"\."), lambda o, i: F.when(i == 0, 1 + byte(i) % 223).otherwise(byte(i)).cast("string"))
     area = F.greatest(F.lit(0), F.length(canon) - 10)
     phone = F.transform(chars(canon), lambda c, i: F.when(i < area, c).otherwise(digit(i)))
@@ -100,12 +120,14 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     sound = F.concat(F.transform(short, lambda d: d.cast("string")), F.array(last.cast("string")))
     card = F.when(luhn(ints(chars(canon))) % 10 == 0, sound).otherwise(card)
 
-    parts = F.split(F.substring(canon, 3, 1000), " ")
+    parts = F.split(F.substring(canon, 3, 1 << 30), " ")
     sex, first, family = F.substring(canon, 1, 1), parts[0], F.element_at(parts, -1)
 
     def pick(script: str, sex: str) -> Column:
         pool = GIVEN[script, sex]
-        return F.element_at(F.array(*map(F.lit, pool)), drawn(block(F.lit("given"), first), 1, len(pool)) + 1)
+        names = F.array(*map(F.lit, pool))
+        each = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda w: F.element_at(names, drawn(block(F.lit("given"), w), 1, len(pool)) + 1))
+        return F.array_join(each, " ")
 
     def surname(script: str) -> Column:
         pool = F.array(*map(F.lit, SYLLABLES[script]))
@@ -118,7 +140,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     person = F.concat(sex, F.lit(" "), F.when(F.size(parts) > 1, F.concat_ws(" ", given, name)).otherwise(name))
     joined = lambda a: F.array_join(a, "")
     return (
-        F.when(kind == "email", joined(email)).when(kind == "secret", joined(secret)).when(kind == "ip", F.array_join(octets, "."))
+        F.when(kind == "email", joined(email)).when(kind == "secret", secret).when(kind == "token", joined(token)).when(kind == "ipv6", joined(ipv6)).when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "card", joined(card)).when(kind == "phone", joined(phone)).when(kind == "ssn", joined(ssn)).otherwise(person)
     )
 
@@ -132,9 +154,10 @@ def render(kind: Column, value: Column, found: Column) -> Column:
     upper_hex = (kind == "secret") & (value == F.upper(value))
     return (
         F.when(kind.isin("card", "phone", "ssn"), F.array_join(digits, ""))
-        .when(kind == "ip", found)
-        .when(kind == "person", F.concat(honorific, F.lit(" "), F.substring(found, 3, 1000)))
+        .when(kind.isin("ip", "ipv6", "token"), found)
+        .when(kind == "person", F.concat(honorific, F.lit(" "), F.substring(found, 3, 1 << 30)))
         .when(upper_hex, F.upper(found))
+        .when(kind == "secret", found)
         .otherwise(F.array_join(cased, ""))
     )
 
