@@ -200,21 +200,24 @@ class ByteGRU:
         return np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
 
 
-def train(docs: DataFrame, per_language: int = 400, pieces: int = 4, length: int = 64, most_languages: int = 64, hidden: int = 8, **fit) -> ByteGRU | None:
-    """Learn from the documents with a non-null lang whose crc32(doc_id as text) mod 3 is not 1."""
+def train(docs: DataFrame, per_language: int = 400, pieces: int = 4, length: int = 64, most_languages: int | None = None, hidden: int = 8, **fit) -> ByteGRU | None:
+    """Learn from the documents with a non-null lang whose crc32(doc_id as text) mod 3 is not 1.
+
+    All their languages are learned; more than ``most_languages``, if it is given, is an error.
+    """
     own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one row a language
     if not counts:
         return None
+    if most_languages is not None and len(counts) > most_languages:
+        raise ValueError(f"{len(counts)} languages, of which {most_languages} may be learned")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 32) / F.lit(2**32)
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (draw < min(1.0, per_language / r["count"])))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "lang string, share double")
     raw = F.col("text").cast("binary")
     n = F.octet_length("text")
     starts = [F.lit(1)] + [(F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.greatest(n - length, F.lit(1))) + 1).cast("int") for k in range(1, pieces)]
     cut = F.array(*[F.substring(raw, s, F.lit(length)) for s in starts])
-    rows = own.filter(wanted).select("lang", cut.alias("cut"), F.xxhash64(F.lit("order"), "doc_id").alias("o"))
+    rows = own.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("lang", cut.alias("cut"), F.xxhash64(F.lit("order"), "doc_id").alias("o"))
     sample = rows.orderBy("o", "lang", "cut").limit(2 * per_language * len(counts)).collect()  # bounded by the parameters
     names = sorted(r["lang"] for r in counts)
     at = {name: k for k, name in enumerate(names)}

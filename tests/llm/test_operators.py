@@ -403,6 +403,14 @@ def test_language(spark, odd):
     assert {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, chr(0x4E00 + i % 70) * 40, f"l{i % 70:02}", "s") for i in range(700)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert len(langid.train(docs, steps=1).languages) == 70
+    with pytest.raises(ValueError):
+        langid.train(docs, most_languages=64)
+
+
 # ---- PII
 
 
