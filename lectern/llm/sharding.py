@@ -20,7 +20,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import buckets_for, materialize, table, unit_range
+from lectern.llm.common import buckets_for, drop_path, materialize, table, unit_range
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -123,13 +123,18 @@ def lines(docs: DataFrame, old_shard: Column) -> DataFrame:
     return materialize(placed.select("doc_id", "size", "crc", "old", (F.col("cb") + F.col("r") * F.col("size")).alias("at"), (F.col("cn") + F.col("r")).alias("nth")), "lines")
 
 
+def grown(shards: int) -> Column:
+    """Old shard of a row by the hash of its text, as before a growth of two shards."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(max(1, shards - 2))).cast("int")
+
+
 def reshard(docs: DataFrame, shards: int = 8, old_shard: Column | None = None) -> DataFrame:
     """doc_id, size, crc, old, shard, slot (gapless from 0 in each shard), moved.
 
     ``old_shard`` is the shard number that a row is in now; without one, rows are taken to lie in ``shards - 2`` shards by
     the hash of their text, as after a growth of two shards.
     """
-    old = F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(max(1, shards - 2))).cast("int") if old_shard is None else old_shard
+    old = grown(shards) if old_shard is None else old_shard
     placed = lines(docs, old)
     sizes = {r["old"]: r["s"] for r in placed.groupBy("old").agg(F.sum("size").alias("s")).collect()}  # one row a shard
     spark = docs.sparkSession
@@ -143,13 +148,31 @@ def reshard(docs: DataFrame, shards: int = 8, old_shard: Column | None = None) -
     return out.select("doc_id", "size", "crc", "old", "shard", (F.col("nth") + F.col("shift")).alias("slot"), (F.col("old") != F.col("shard")).alias("moved"))
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str, affected_only: bool = True) -> None:
-    """Write shards as ``path/shard=k``; with ``affected_only`` just those that lose or gain a row. Ids must be unique here."""
-    to = plan.select("doc_id", "shard", "slot", "old")
+def rewrite(docs: DataFrame, plan: DataFrame, path: str, affected_only: bool = True, shards: int | None = None, old_shard: Column | None = None) -> None:
+    """Write shards as ``path/shard=k``; with ``affected_only`` just those that lose or gain a row. Shards without rows are deleted.
+
+    ``plan`` is from ``reshard`` of the same rows, ``shards`` and ``old_shard``; without either, shards are as many as the plan's. Each row of ``docs`` takes one row of the plan with its doc_id
+    (null or not), size, checksum and old shard, so rows that agree in those are written once each.
+    """
+    spark = docs.sparkSession
+    same = ["size", "crc", "old"]
+    nth = lambda order: F.row_number().over(Window.partitionBy("__id", *[f"__{c}" for c in same]).orderBy(order))
+    plan = materialize(plan.select("doc_id", *same, "shard", "slot", "moved"), "plan")
+    to = plan.select(F.col("doc_id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in same], "shard", "slot").withColumn("__nth", nth("slot"))
     if affected_only:
         hit = plan.filter("moved").select(F.explode(F.array("old", "shard")).alias("shard")).distinct()
         to = to.join(F.broadcast(hit), "shard", "left_semi")  # numbers of shards
-    docs.join(to.drop("old"), "doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    if shards is None and old_shard is None:
+        shards = (plan.agg(F.max("shard")).first()[0] or 0) + 1
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = [F.col("doc_id").alias("__id"), (F.octet_length(text) + 1).cast("long").alias("__size"), F.crc32(text.cast("binary")).alias("__crc"), (grown(shards) if old_shard is None else old_shard).alias("__old")]
+    rows = docs.select("*", *own, F.xxhash64("*").alias("__row")).drop("shard", "slot").withColumn("__nth", nth("__row")).alias("d")
+    to = to.alias("t")
+    on = [F.col("d.__id").eqNullSafe(F.col("t.__id")), *[F.col(f"d.__{c}") == F.col(f"t.__{c}") for c in [*same, "nth"]]]
+    names = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    rows.join(to, on).select(*names, "t.shard", "t.slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for r in plan.select(F.col("old").alias("shard")).distinct().join(plan.select("shard").distinct(), "shard", "left_anti").collect():
+        drop_path(spark, f"{path.rstrip('/')}/shard={r['shard']}")
 
 
 def op10_reshard(spark, sf_dir) -> DataFrame:

@@ -173,6 +173,20 @@ def test_rewrite_affected(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 200
 
 
+def test_rewrite_keeps_every_row_once(spark, tmp_path):
+    """Null and repeated ids, shards fewer than before, a column that is named like the shard's."""
+    rows = [(None if i % 7 == 0 else i % 50, "same" if i % 5 == 0 else "t" * (i % 23), str(i), i % 6) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string, shard int").repartition(3)
+    path = str(tmp_path / "o")
+    docs.write.partitionBy("shard").parquet(path)
+    plan = sharding.reshard(docs, 4, F.col("shard"))
+    want = Counter((r["shard"], r["slot"]) for r in plan.collect())
+    sharding.rewrite(docs, plan, path, old_shard=F.col("shard"))
+    got = spark.read.parquet(path).collect()
+    assert sorted((r["doc_id"] or -1, r["text"], r["extra"]) for r in got) == sorted((i or -1, t, e) for i, t, e, _ in rows)
+    assert Counter((r["shard"], r["slot"]) for r in got) == want and max(r["shard"] for r in got) == 3
+
+
 # ---- simhash
 
 
