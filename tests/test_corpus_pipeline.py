@@ -111,3 +111,9 @@ def test_sketches_of_all_widths_agree():
         one, two = jaccard.may_be_similar(np.arange(3), np.arange(3), marks, np.arange(3), rows := np.arange(3))
         found = {frozenset(p) for p in zip(np.concatenate(one).tolist(), np.concatenate(two).tolist()) if p[0] != p[1]}
         assert found == {frozenset((0, 1))} and len(rows) == 3
+
+
+def test_rows_that_share_an_id_stand_for_their_own_texts(spark):
+    pairs = [(5, "one text of its own here"), (5, "another text that has a copy"), (3, "another text that has a copy"), (3, "another text that has a copy"), (None, "one text of its own here"), (None, "no id at all")]
+    got = corpus_pipeline.deduplicate(spark, frame(spark, pairs), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "no id at all"), (3, pairs[1][1]), (5, pairs[0][1])]
