@@ -12,7 +12,8 @@ and is compared in blocks, one task for each pair of blocks. Components come fro
 over written tables.
 
 Rows and nulls: a text that is null or has no word has fingerprint 0, linked like any other; rows with one doc_id are rows of
-their own; a null doc_id takes part, and is the component's id only if the component has no other. An empty table gives no rows.
+their own; a null doc_id takes part, and is the component's id only if the component has no other. A very long text is hashed
+whole, in parts. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize, small_batches, table
+from lectern.llm.common import drop_path, materialize, scratch, slices, table
 
 BITS = 3  # differing bits that still link
 BLOCK = 4096
@@ -65,11 +66,10 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (a signed 64-bit number) of each row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in slices(batches):
             made = [majority(shingle_hashes(t or b"", words, seed)) for t in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(made, pa.int64())], ["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(each, "doc_id long, fp long")
 
 
@@ -175,7 +175,7 @@ def compare(key: np.ndarray, fp: np.ndarray, near: np.ndarray) -> tuple[list, li
 
 
 def near_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
+    for rows in slices(batches, 4096):
         fps = rows.column(0).to_numpy(zero_copy_only=False)
         key, at, near = keys(fps.view(np.uint64))
         for i in range(0, len(key), 1 << 16):
@@ -233,7 +233,6 @@ def sorted_links(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.R
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges a > b that connect just what links of ``BITS`` bits connect; ``distinct`` has each fp once."""
     spark = distinct.sparkSession
-    small_batches(spark, 4096)
     keyed = distinct.select("fp").mapInArrow(near_keys, "key long, fp long, near boolean")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(n, "key").sortWithinPartitions("key")
@@ -263,33 +262,37 @@ def components(edges: DataFrame) -> DataFrame:
     Spark can split a node with very many edges.
     """
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    spark = edges.sparkSession
     edges = materialize(edges.select("a", "b"), "edges")
     before = mark(edges)
-    if not before[0]:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    while True:
+    while before[0]:  # every round but the last one changes the edges, and they only get smaller, so there is a last one
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        last = edges
+        first = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = both.join(first, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialize(large, "large")
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = materialize(small.select("e.*").filter("a <> b").distinct(), "edges")
+        edges, steps = materialize(small.select("e.*").filter("a <> b").distinct(), "edges"), (first, large, least)
         after = mark(edges)
+        for old in (last, *steps):
+            drop_path(spark, old._work_path)
         if after == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
         before = after
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links reach), one row a row of ``docs``."""
-    of_rows = materialize(fingerprints(docs, words, seed), "fps")
-    distinct = materialize(of_rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
-    roots = components(links(distinct))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "named")
-    ids = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    of_fp = materialize(named.join(ids, "root").select("fp", "component_id"), "of_fp")
+    with scratch(docs.sparkSession) as keep:
+        of_rows = keep(materialize(fingerprints(docs, words, seed), "fps"))
+        distinct = materialize(of_rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
+        roots = components(links(distinct))
+        named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        named = materialize(named, "named")
+        ids = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+        of_fp = keep(materialize(named.join(ids, "root").select("fp", "component_id"), "of_fp"))
     return of_rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
