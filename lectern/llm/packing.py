@@ -6,7 +6,8 @@ open, the fullest is emitted. What stays open at the end of all partitions is me
 partitions and cut into windows, so that one window at most of the whole corpus has a gap from this step.
 
 Rows and nulls: a null text is empty and yields only the closing id; a null doc_id stays null; each of several rows
-with one doc_id is packed as a document of its own. An empty table gives no pieces. Other columns are not read.
+with one doc_id is packed as a document of its own, and ``row`` tells its pieces from those of the others. A very long text is
+tokenized whole and cut into many windows. An empty table gives no pieces. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize, small_batches, table
+from lectern.llm.common import materialize, ship, shipped, slices, table
 
-#: Partition number times this plus the window's number is a sequence's id; those of merged windows follow MERGED.
+#: Partition number times this plus the window's number is a sequence's id, and plus a document's number its row; those of merged windows follow MERGED.
 SPAN = 1 << 32
 MERGED = 1 << 61
 
@@ -86,19 +87,20 @@ class WordTokenizer:
 
 def place(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, open_windows: int) -> Iterator[pa.RecordBatch]:
     """Pieces of one partition; those with window -1 are left over, their offset counting from the partition's first."""
-    tokenize = WordTokenizer.of(path)
+    tokenize = WordTokenizer.of(shipped(path))
     part = TaskContext.get().partitionId()
     end = int(end_id).to_bytes(4, "little")
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "part", "window", "offset"]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "row", "part", "window", "offset"]
     out: list[tuple] = []
     size = 0
     numbered = 0
+    row = part * SPAN - 1
     free: list[tuple[int, int]] = []  # (room, window), ascending
     held: dict[int, list[tuple]] = {}
 
     def batch() -> pa.RecordBatch:
         cols = list(zip(*out)) if out else [[] for _ in names]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5]
         made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
         out.clear()
         return made
@@ -111,18 +113,19 @@ def place(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int
             offset += piece[2]
             size += len(piece[3])
 
-    for rows in batches:
+    for rows in slices(batches):
         texts = [(x or b"").decode("utf-8", "replace") for x in rows.column(1).to_pylist()]
         for doc_id, ids in zip(rows.column(0).to_pylist(), tokenize(texts)):
             ids += end
+            row += 1
             total = len(ids) // 4
             start = 0
             while total - start >= window:
-                emit([(doc_id, start, window, ids[4 * start : 4 * (start + window)], total)], numbered)
+                emit([(doc_id, start, window, ids[4 * start : 4 * (start + window)], total, row)], numbered)
                 numbered += 1
                 start += window
             if rest := total - start:
-                piece = (doc_id, start, rest, ids[4 * start :], total)
+                piece = (doc_id, start, rest, ids[4 * start :], total, row)
                 at = bisect.bisect_left(free, (rest, -1))
                 if at < len(free):
                     room, best = free.pop(at)
@@ -146,16 +149,17 @@ def place(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, open_windows: int = 64) -> DataFrame:
-    """Pieces: doc_id, start, length, ids (binary, unsigned 32-bit little-endian), doc_tokens, sequence_id, offset.
+    """Pieces: doc_id, start, length, ids (binary, unsigned 32-bit little-endian), doc_tokens, sequence_id, offset, row (the same of
+    all pieces of a row of ``docs``).
 
     The placed pieces are written once to the shared folder: a rerun of a lost task could not renumber windows, and
     left-over pieces need the totals of all partitions before theirs.
     """
-    small_batches(docs.sparkSession)
-    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, part long, window long, offset long"
+    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, row long, part long, window long, offset long"
+    name = ship(docs.sparkSession, tokenizer_path)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    placed = materialize(texts.mapInArrow(lambda b: place(b, tokenizer_path, window, end_id, open_windows), schema), "pack")
-    done = placed.filter("window >= 0").select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("part") * F.lit(SPAN) + F.col("window")).alias("sequence_id"), "offset")
+    placed = materialize(texts.mapInArrow(lambda b: place(b, name, window, end_id, open_windows), schema), "pack")
+    done = placed.filter("window >= 0").select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("part") * F.lit(SPAN) + F.col("window")).alias("sequence_id"), "offset", "row")
     rest = placed.filter("window < 0")
     sums = rest.groupBy("part").agg(F.sum("length").alias("left"))  # one row a partition of the input
     sums = sums.select("part", F.coalesce(F.sum("left").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -165,7 +169,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     merged = cut.select(
         "doc_id", (F.col("start") + F.col("from") - F.col("at")).alias("start"), (F.col("to") - F.col("from")).alias("length"),
         F.expr("substring(ids, cast(4 * (from - at) + 1 as int), cast(4 * (to - from) as int))").alias("ids"), "doc_tokens",
-        (F.col("k") + F.lit(MERGED)).alias("sequence_id"), (F.col("from") - F.col("k") * window).alias("offset"),
+        (F.col("k") + F.lit(MERGED)).alias("sequence_id"), (F.col("from") - F.col("k") * window).alias("offset"), "row",
     )
     return done.unionByName(merged)
 

@@ -8,7 +8,8 @@ its UTF-8 bytes where the vocabulary has byte pieces. Scores add up in double pr
 White space becomes the vocabulary's mark, and one mark goes before the text. As no piece holds a mark after another
 character (checked on loading), the best way of a text is those of its words laid end to end, so a word met before is looked up.
 
-Rows and nulls: a null text counts null tokens, an empty one 0. Repeated rows count alike; other columns stay.
+Rows and nulls: a null text counts null tokens, an empty one 0. Repeated rows count alike. A very long text costs in proportion: the memory of a
+count is that of its longest word. An empty table gives an empty table. Other columns stay; one named as the result is an error.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small_batches, table
+from lectern.llm.common import ship, shipped, table
 
 MARK = "▁"
 
@@ -116,15 +117,17 @@ class CountViterbi:
 
 def count_tokens(docs: DataFrame, model_path: str, into: str = "token_count") -> DataFrame:
     """``docs`` with a struct of tokens and score."""
+    if into in docs.columns:
+        raise ValueError(f"there is a column {into!r}: name the result otherwise")
+    name = ship(docs.sparkSession, model_path)
 
     @F.pandas_udf("tokens long, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        count = CountViterbi.of(model_path)
+        count = CountViterbi.of(shipped(name))
         for texts in batches:
             made = [(None, None) if t is None else count(t.decode("utf-8", "replace")) for t in texts]
             yield pd.DataFrame({"tokens": pd.array([m[0] for m in made], "Int64"), "score": pd.array([m[1] for m in made], "Float64")})
 
-    small_batches(docs.sparkSession)
     return docs.withColumn(into, judge(F.col("text").cast("binary")))
 
 
