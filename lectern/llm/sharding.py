@@ -8,9 +8,12 @@ side on its line, so a group of copies is cut only where a cut falls into it.
 Positions on the line are prefix sums in two levels (hash ranges, then rows), so neither a large shard nor a large group
 of copies meets in one task.
 
+``reshard`` makes the plan, one row a document: it is all that the query ``op10_reshard`` returns. ``rewrite`` carries it out on a folder.
+
 Rows and nulls: a null text has no bytes, size 1 and checksum 0, like an empty one; a null doc_id is a row like any other.
-Rows with equal doc_id and text are interchangeable. An empty table gives an empty plan. Other columns are not read by
-``reshard``; ``rewrite`` keeps them.
+Rows with equal doc_id and text are interchangeable: they are counted before anything is sorted, so a row repeated very often meets
+no task. A very long text is one row of its size. An empty table gives an empty plan. Other columns are not read by ``reshard``;
+``rewrite`` keeps them, but for ``shard`` and ``slot``, which it sets. Names that start with ``__`` are reserved there.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import buckets_for, drop_path, materialize, table, unit_range
+from lectern.llm.common import buckets_for, copies, drop_path, materialize, numbered, scratch, table, unit_range
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -105,22 +108,24 @@ def lines(docs: DataFrame, old_shard: Column) -> DataFrame:
         F.xxhash64(text).alias("th"), F.xxhash64(F.lit("row"), F.col("doc_id")).alias("dh"), old_shard.alias("old"),
     )
     buckets = buckets_for(docs.count())
-    rows = rows.withColumn("sub", unit_range(F.col("dh"), buckets))
-    ordered = Window.partitionBy("old", "th", "sub").orderBy("dh", "doc_id")
-    ranked = rows.withColumn("r", F.row_number().over(ordered) - 1)
-    cells = rows.groupBy("old", "th", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    cells = cells.withColumn("b", unit_range(F.col("th"), buckets))
+    same = ["old", "th", "dh", "doc_id", "size", "crc"]
+    rows = rows.groupBy(*same).agg(F.count("*").alias("n")).withColumn("sub", unit_range(F.col("dh"), buckets))
+    rows = materialize(rows.withColumn("bytes", F.col("n") * F.col("size")), "rows")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    inner = before(Window.partitionBy("old", "b").orderBy(F.shiftrightunsigned("th", 32), "th", "sub"))
     zero = lambda c: F.coalesce(c, F.lit(0))
+    own = before(Window.partitionBy("old", "th", "sub").orderBy("dh", "doc_id", "size", "crc"))
+    placed = rows.withColumn("rn", zero(F.sum("n").over(own))).withColumn("rb", zero(F.sum("bytes").over(own)))
+    cells = rows.groupBy("old", "th", "sub").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    cells = cells.withColumn("b", unit_range(F.col("th"), buckets))
+    inner = before(Window.partitionBy("old", "b").orderBy(F.shiftrightunsigned("th", 32), "th", "sub"))
     cells = cells.withColumn("n0", zero(F.sum("n").over(inner))).withColumn("bytes0", zero(F.sum("bytes").over(inner)))
     outer = before(Window.partitionBy("old").orderBy("b"))
     base = cells.groupBy("old", "b").agg(F.sum("n").alias("bn"), F.sum("bytes").alias("bb"))
     base = base.select("old", "b", zero(F.sum("bn").over(outer)).alias("n1"), zero(F.sum("bb").over(outer)).alias("bytes1"))
     cells = cells.join(base, ["old", "b"]).select("old", "th", "sub", (F.col("n0") + F.col("n1")).alias("cn"), (F.col("bytes0") + F.col("bytes1")).alias("cb"))
-    placed = ranked.join(cells, ["old", "th", "sub"])
-    # rows of a cell have one text and so one size
-    return materialize(placed.select("doc_id", "size", "crc", "old", (F.col("cb") + F.col("r") * F.col("size")).alias("at"), (F.col("cn") + F.col("r")).alias("nth")), "lines")
+    placed = placed.join(cells, ["old", "th", "sub"]).select("doc_id", "size", "crc", "old", "n", (F.col("cb") + F.col("rb")).alias("at"), (F.col("cn") + F.col("rn")).alias("nth"))
+    placed = copies(materialize(placed, "placed"), "n")
+    return materialize(placed.select("doc_id", "size", "crc", "old", (F.col("at") + F.col("copy") * F.col("size")).alias("at"), (F.col("nth") + F.col("copy")).alias("nth")), "lines")
 
 
 def grown(shards: int) -> Column:
@@ -135,7 +140,8 @@ def reshard(docs: DataFrame, shards: int = 8, old_shard: Column | None = None) -
     the hash of their text, as after a growth of two shards.
     """
     old = grown(shards) if old_shard is None else old_shard
-    placed = lines(docs, old)
+    with scratch(docs.sparkSession) as keep:
+        placed = keep(lines(docs, old))
     sizes = {r["old"]: r["s"] for r in placed.groupBy("old").agg(F.sum("size").alias("s")).collect()}  # one row a shard
     spark = docs.sparkSession
     plan = spark.createDataFrame(cuts(sizes, shards) if sizes else [], "old int, lo long, hi long, shard int")
@@ -149,29 +155,35 @@ def reshard(docs: DataFrame, shards: int = 8, old_shard: Column | None = None) -
 
 
 def rewrite(docs: DataFrame, plan: DataFrame, path: str, affected_only: bool = True, shards: int | None = None, old_shard: Column | None = None) -> None:
-    """Write shards as ``path/shard=k``; with ``affected_only`` just those that lose or gain a row. Shards without rows are deleted.
+    """Write shards as ``path/shard=k``; with ``affected_only`` just those that lose or gain a row, so the files of others stay as
+    they are. Shards without rows are deleted.
 
-    ``plan`` is from ``reshard`` of the same rows, ``shards`` and ``old_shard``; without either, shards are as many as the plan's. Each row of ``docs`` takes one row of the plan with its doc_id
-    (null or not), size, checksum and old shard, so rows that agree in those are written once each.
+    ``plan`` is from ``reshard`` of the same rows, ``shards`` and ``old_shard``; without either, shards are as many as the plan's. Each
+    row of ``docs`` takes one row of the plan with its doc_id (null or not), size, checksum and old shard; rows that agree in those
+    are numbered on both sides. All that is to be written is copied to the work folder first: ``docs`` may be what lies in ``path``.
     """
     spark = docs.sparkSession
-    same = ["size", "crc", "old"]
-    nth = lambda order: F.row_number().over(Window.partitionBy("__id", *[f"__{c}" for c in same]).orderBy(order))
-    plan = materialize(plan.select("doc_id", *same, "shard", "slot", "moved"), "plan")
-    to = plan.select(F.col("doc_id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in same], "shard", "slot").withColumn("__nth", nth("slot"))
-    if affected_only:
-        hit = plan.filter("moved").select(F.explode(F.array("old", "shard")).alias("shard")).distinct()
-        to = to.join(F.broadcast(hit), "shard", "left_semi")  # numbers of shards
-    if shards is None and old_shard is None:
-        shards = (plan.agg(F.max("shard")).first()[0] or 0) + 1
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = [F.col("doc_id").alias("__id"), (F.octet_length(text) + 1).cast("long").alias("__size"), F.crc32(text.cast("binary")).alias("__crc"), (grown(shards) if old_shard is None else old_shard).alias("__old")]
-    rows = docs.select("*", *own, F.xxhash64("*").alias("__row")).drop("shard", "slot").withColumn("__nth", nth("__row")).alias("d")
-    to = to.alias("t")
-    on = [F.col("d.__id").eqNullSafe(F.col("t.__id")), *[F.col(f"d.__{c}") == F.col(f"t.__{c}") for c in [*same, "nth"]]]
-    names = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("shard", "slot")]
-    rows.join(to, on).select(*names, "t.shard", "t.slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    for r in plan.select(F.col("old").alias("shard")).distinct().join(plan.select("shard").distinct(), "shard", "left_anti").collect():
+    keys = ["__id", "__size", "__crc", "__old"]
+    with scratch(spark):
+        plan = materialize(plan.select("doc_id", "size", "crc", "old", "shard", "slot", "moved"), "plan")
+        if shards is None and old_shard is None:
+            shards = (plan.agg(F.max("shard")).first()[0] or 0) + 1
+        text = F.coalesce(F.col("text"), F.lit(""))
+        own = [F.col("doc_id"), (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary")), grown(shards) if old_shard is None else old_shard]
+        rows = docs.select("*", *[c.alias(k) for c, k in zip(own, keys)]).drop("shard", "slot")
+        to = plan.select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "size", "crc", "old"), keys)], "shard", "slot")
+        if affected_only:  # numbers of shards, as many as there are
+            hit = F.broadcast(plan.filter("moved").select(F.explode(F.array("old", "shard")).alias("hit")).distinct())
+            rows, to = (x.join(hit, F.col("__old") == F.col("hit"), "left_semi") for x in (rows, to))
+        rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "snapshot")
+        rows = numbered(rows, keys, F.col("__row"), "__nth").alias("d")
+        to = numbered(materialize(to, "to"), keys, F.xxhash64("shard", "slot"), "__nth").alias("t")
+        on = [F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}")) for k in [*keys, "__nth"]]
+        names = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+        out = rows.join(to, on).select(*names, "t.shard", "t.slot").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+        gone = plan.select(F.col("old").alias("shard")).distinct().join(plan.select("shard").distinct(), "shard", "left_anti").collect()  # numbers of shards
+    for r in gone:
         drop_path(spark, f"{path.rstrip('/')}/shard={r['shard']}")
 
 
