@@ -1,14 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time on a bounded sample (``per_language`` documents a
-language, ``pieces`` byte pieces each); both bounds are parameters. It labels every byte position of every whole text;
-a document's probabilities are the mean over its positions. Texts are run in windows of ``core`` bytes, with ``edge``
+The network is trained in numpy by backpropagation through time on a bounded sample of labelled documents (``per_language`` of
+each language), on windows of their whole texts: a batch draws a document of each language, then one of its windows. It labels every
+byte position of every whole text; a document's probabilities are the mean over its positions. Texts are run in windows of ``core`` bytes, with ``edge``
 bytes of the neighbouring windows on each side to warm the state up, so that a long text costs no more per byte than a short one
 and no memory beyond a block of windows.
 
 Rows and nulls: a text that is null or has no letter is ``und`` with score 0; so is every text if there is nothing to learn
-from. Rows without a doc_id are predicted, never learned from, and not held out. Repeated rows get the same prediction. The most
-frequent ``most_languages`` labels are learned, ties by name. Other columns are ignored by ``identify`` and kept by ``label``.
+from. Rows without a doc_id are predicted, never learned from, and not held out. Repeated rows get the same prediction. Every
+label of the table is learned. Other columns are ignored by ``identify`` and kept by ``label``, whose own column must not be among them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small_batches, table
+from lectern.llm.common import table
 
 PAD = 256
 
@@ -143,19 +143,21 @@ class ByteGRU:
             np.add.at(g[f"E{d}"], x.reshape(-1), gates.reshape(-1, 3 * h))
         return float(loss), g
 
-    def fit(self, pieces: list[bytes], labels: np.ndarray, steps: int = 240, batch: int = 192, length: int = 64, rate: float = 0.02) -> ByteGRU:
-        """Adam on random batches with as many pieces of each language."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 240, batch: int = 192, length: int = 64, rate: float = 0.02) -> ByteGRU:
+        """Adam on random batches with as many documents of each language, a window of ``length`` bytes of each."""
         rng = np.random.default_rng(self.seed)
-        x = np.full((len(pieces), length), PAD, np.int64)
-        for i, piece in enumerate(pieces):
-            cut = np.frombuffer(piece[:length], np.uint8)
-            x[i, : len(cut)] = cut
+        windows = np.array([max(1, -(-len(t) // length)) for t in texts])
+        first = np.cumsum(windows) - windows
+        every = np.full((int(windows.sum()), length), PAD, np.int16)
+        for text, at, n in zip(texts, first, windows):
+            every[at : at + n].reshape(-1)[: len(text)] = np.frombuffer(text, np.uint8)
         of = [np.flatnonzero(labels == k) for k in range(len(self.languages))]
         m = {n: np.zeros_like(v) for n, v in self.p.items()}
         s = {n: np.zeros_like(v) for n, v in self.p.items()}
         for step in range(1, steps + 1):
             at = np.concatenate([rng.choice(o, -(-batch // len(of))) for o in of if len(o)])
-            xs = np.ascontiguousarray(x[at].T)
+            at_window = first[at] + rng.integers(0, windows[at])
+            xs = np.ascontiguousarray(every[at_window].T.astype(np.int64))
             _, g = self.gradients(xs, labels[at], (xs != PAD).astype(np.float32))
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             slow = rate * min(1, (steps - step + 1) / (0.5 * steps))
@@ -200,34 +202,27 @@ class ByteGRU:
         return np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
 
 
-def train(docs: DataFrame, per_language: int = 400, pieces: int = 4, length: int = 64, most_languages: int | None = None, hidden: int = 8, **fit) -> ByteGRU | None:
-    """Learn from the documents with a non-null lang whose crc32(doc_id as text) mod 3 is not 1.
-
-    All their languages are learned; more than ``most_languages``, if it is given, is an error.
-    """
+def train(docs: DataFrame, per_language: int = 400, hidden: int = 8, **fit) -> ByteGRU | None:
+    """Learn from the documents with a non-null lang whose crc32(doc_id as text) mod 3 is not 1: of each of their languages about
+    ``per_language`` documents, drawn by a hash of the id, with their whole texts."""
     own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one row a language
     if not counts:
         return None
-    if most_languages is not None and len(counts) > most_languages:
-        raise ValueError(f"{len(counts)} languages, of which {most_languages} may be learned")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 32) / F.lit(2**32)
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "lang string, share double")
-    raw = F.col("text").cast("binary")
-    n = F.octet_length("text")
-    starts = [F.lit(1)] + [(F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.greatest(n - length, F.lit(1))) + 1).cast("int") for k in range(1, pieces)]
-    cut = F.array(*[F.substring(raw, s, F.lit(length)) for s in starts])
-    rows = own.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("lang", cut.alias("cut"), F.xxhash64(F.lit("order"), "doc_id").alias("o"))
-    sample = rows.orderBy("o", "lang", "cut").limit(2 * per_language * len(counts)).collect()  # bounded by the parameters
+    rows = own.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64(F.lit("order"), "doc_id").alias("o"))
+    sample = rows.limit(2 * per_language * len(counts)).collect()  # about half as many rows, bounded by the parameter
+    sample.sort(key=lambda r: (r["o"], r["lang"], bytes(r["text"])))  # whatever the order they came in
     names = sorted(r["lang"] for r in counts)
     at = {name: k for k, name in enumerate(names)}
-    texts = [bytes(c) for r in sample for c in r["cut"]]
-    labels = np.array([at[r["lang"]] for r in sample for _ in r["cut"]], np.int64)
-    return ByteGRU(names, hidden).fit(texts, labels, length=length, **fit)
+    return ByteGRU(names, hidden).fit([bytes(r["text"]) for r in sample], np.array([at[r["lang"]] for r in sample], np.int64), **fit)
 
 
 def label(docs: DataFrame, model: ByteGRU | None, into: str = "language") -> DataFrame:
     """``docs`` with a struct of lang_pred and score; nothing but the text goes in."""
+    if into in docs.columns:
+        raise ValueError(f"there is a column {into!r}: name the result otherwise")
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     und = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if model is None:
@@ -240,7 +235,6 @@ def label(docs: DataFrame, model: ByteGRU | None, into: str = "language") -> Dat
             best = prob.argmax(axis=1)
             yield pd.DataFrame({"lang_pred": [model.languages[b] for b in best], "score": np.minimum(prob.max(axis=1), 1.0)})
 
-    small_batches(docs.sparkSession)
     lettered = F.when(has_letter, F.col("text").cast("binary"))
     return docs.withColumn(into, judge.asNondeterministic()(lettered)).withColumn(into, F.when(has_letter, F.col(into)).otherwise(und))
 
