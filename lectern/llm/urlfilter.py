@@ -6,11 +6,14 @@ towards the next shorter one in proportion to how many different characters foll
 uniform one. Any other URL is judged by the mean over its characters of the log ratio of the two models, against a cut
 calibrated on decided URLs that the models were not fitted on (``held`` of every ten, by a hash of the URL).
 
-Tables here are of distinct n-grams, at most one row for each that occurs; they are broadcast only if they have fewer than
-``BROADCAST`` rows, and joined by shuffle otherwise. Equal URLs are scored once.
+Counts of the grams of all orders are in one table, and what a gram is worth in another. The latter is broadcast in slices of at most
+``BROADCAST`` bytes, one pass over the URLs for each: characters are never shuffled, only a partial sum a URL and slice is. Equal URLs
+are scored once.
 
 Rows and nulls: a URL that is null or has no ``://`` has empty host and path, fits no rule and is judged by the models on its whole text; a
-null or empty one is allowed. Repeated rows are judged alike. Without decided URLs of both kinds every other URL is allowed.
+null or empty one is allowed. Repeated rows are judged alike. Without decided URLs of both kinds every other URL is allowed. A very
+long URL is one row until its characters are joined. Columns named host, path, rule or verdict are replaced, all others stay; names
+that start with ``__`` are reserved. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize, table
+from lectern.llm.common import materialize, scratch, table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 ORDER = 4  # characters of an n-gram: three of context and one that follows
-BROADCAST = 300_000
+BROADCAST = 64 << 20  # bytes; a row of a gram and its worth takes about ROW of them in a hash table
+ROW = 128
 START, END = "\x02", "\x03"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,39 +67,46 @@ def grams(urls: DataFrame) -> DataFrame:
     return urls.select(*[c for c in urls.columns if c != "symbols"], F.explode(each).alias("gram"))
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """The written table, to be broadcast if it is small."""
-    df = materialize(df, "grams")
-    return F.broadcast(df) if df.count() < BROADCAST else df
-
-
 def log_ratios(train: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each of the ``wanted`` grams the log of the accepting over the rejecting model's probability."""
-    full = materialize(grams(train).groupBy("gram").agg(F.sum(F.col("accepted").cast("long")).alias("a"), F.sum((~F.col("accepted")).cast("long")).alias("r")), "grams")
-    uniform = 1.0 / 256
-    result = wanted.select("gram").withColumn("pa", F.lit(uniform)).withColumn("pr", F.lit(uniform))
+    """For each of the ``wanted`` grams the log of the accepting over the rejecting model's probability.
+
+    An order's part of a gram is its last characters, and their context all of those but the last; a context's length is its order's.
+    """
+    ends = F.transform(F.sequence(F.lit(1), F.lit(ORDER)), lambda n: F.struct(n.alias("n"), F.right("gram", n).alias("g")))
+    of_orders = lambda df, *more: df.select("gram", *more, F.explode(ends).alias("e")).select("gram", *more, "e.n", "e.g")
+    one = lambda c: F.sum(c.cast("long"))
+    full = grams(train).groupBy("gram").agg(one(F.col("accepted")).alias("a"), one(~F.col("accepted")).alias("r"))
+    seen = materialize(of_orders(full, "a", "r").groupBy("n", "g").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "seen")
+    context = seen.groupBy("n", F.expr("left(g, n - 1)").alias("c")).agg(
+        F.sum("a").alias("na"), F.sum("r").alias("nr"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("r") > 0).alias("tr")
+    )
+    asked = of_orders(wanted.select("gram")).withColumn("c", F.expr("left(g, n - 1)"))
+    found = asked.join(seen, ["n", "g"], "left").join(materialize(context, "context"), ["n", "c"], "left")
+    counts = ["a", "r", "na", "nr", "ta", "tr"]
+    packed = found.groupBy("gram").agg(*[F.max(F.when(F.col("n") == n, F.col(k))).alias(f"{k}{n}") for n in range(1, ORDER + 1) for k in counts])
+    zero = lambda k, n: F.coalesce(F.col(f"{k}{n}"), F.lit(0))
+
+    def smooth(p: Column, n: int, kind: str) -> Column:
+        whole = zero(f"n{kind}", n) + zero(f"t{kind}", n)
+        return F.when(whole > 0, (zero(kind, n) + zero(f"t{kind}", n) * p) / whole).otherwise(p)
+
+    result = packed.withColumns({"p0a": F.lit(1.0 / 256), "p0r": F.lit(1.0 / 256)})
     for n in range(1, ORDER + 1):
-        seen = full.groupBy(F.expr(f"right(gram, {n})").alias("g")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
-        context = seen.groupBy(F.expr(f"left(g, {n - 1})").alias("c")).agg(
-            F.sum("a").alias("na"), F.sum("r").alias("nr"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("r") > 0).alias("tr")
-        )
-        tail = result.withColumn("g", F.expr(f"right(gram, {n})")).withColumn("c", F.expr(f"left(g, {n - 1})"))
-        tail = tail.join(sized(seen), "g", "left").join(sized(context), "c", "left")
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-
-        def smooth(p: str, count: str, total: str, kinds: str) -> Column:
-            whole = zero(total) + zero(kinds)
-            return F.when(whole > 0, (zero(count) + zero(kinds) * F.col(p)) / whole).otherwise(F.col(p))
-
-        result = tail.select("gram", smooth("pa", "a", "na", "ta").alias("pa"), smooth("pr", "r", "nr", "tr").alias("pr"))
-    return result.select("gram", F.log(F.col("pa") / F.col("pr")).alias("ratio"))
+        result = result.withColumns({f"p{n}{kind}": smooth(F.col(f"p{n - 1}{kind}"), n, kind) for kind in "ar"})
+    return result.select("gram", F.log(F.col(f"p{ORDER}a") / F.col(f"p{ORDER}r")).alias("ratio"))
 
 
-def scores(urls: DataFrame, train: DataFrame) -> DataFrame:
+def scores(urls: DataFrame, train: DataFrame, most: int = BROADCAST) -> DataFrame:
     """url, score: the mean log ratio over the characters of each distinct url."""
     each = grams(urls)
-    ratios = log_ratios(train, materialize(each.select("gram").distinct(), "wanted"))
-    return each.join(sized(ratios), "gram").groupBy("url").agg((F.sum("ratio") / F.count("*")).alias("score"))
+    ratios = materialize(log_ratios(train, materialize(each.select("gram").distinct(), "wanted")), "ratios")
+    passes = -(-ratios.count() * ROW // most)
+    slice_of = F.pmod(F.xxhash64("gram"), F.lit(max(1, passes)))
+    sums = [each.join(F.broadcast(ratios.filter(slice_of == k)), "gram").groupBy("url").agg(F.sum("ratio").alias("ratio"), F.count("*").alias("n")) for k in range(max(1, passes))]
+    if passes <= 1:
+        return sums[0].select("url", (F.col("ratio") / F.col("n")).alias("score"))
+    every = reduce(DataFrame.unionByName, [materialize(x, "sums") for x in sums])
+    return every.groupBy("url").agg((F.sum("ratio") / F.sum("n")).alias("score"))
 
 
 def calibrate(scored: DataFrame, bins: int = 1024, span: float = 8.0) -> float:
@@ -117,24 +128,27 @@ def calibrate(scored: DataFrame, bins: int = 1024, span: float = 8.0) -> float:
 def judge(pages: DataFrame, rules=RULES, held: int = 2) -> DataFrame:
     """``pages`` with host, path, rule, verdict."""
     keep = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rule, said = ruled(F.col("host"), F.col("path"), rules)
-    parted = pages.select(*keep, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("rule", rule).withColumn("said", said)
-    urls = parted.filter(F.length("url") > 0).groupBy("url").agg(F.first("said").alias("said"))
-    urls = materialize(urls.withColumn("symbols", symbols(F.col("url"))), "urls")
-    apart = F.conv(F.substring(F.md5("url"), 1, 8), 16, 10).cast("long") % 10 < held
-    decided = urls.filter("said is not null").withColumn("accepted", F.col("said") == "allow").select("url", "symbols", "accepted")
-    kinds = {x["accepted"] for x in decided.select("accepted").distinct().collect()}  # two values at most
-    if len(kinds) < 2:
-        return parted.withColumn("verdict", F.coalesce("said", F.lit("allow"))).drop("said")
-    train, check = decided.filter(~apart), decided.filter(apart)
-    asked = urls.filter(F.col("said").isNull() | apart).select("url", "symbols")
-    scored = materialize(scores(asked, train), "scored")
-    cut = calibrate(scored.join(check.select("url", "accepted"), "url"))
-    open_ = F.col("said").isNull() & (F.length("url") > 0)
-    verdicts = scored.select("url", F.when(F.col("score") >= cut, "allow").otherwise("block").alias("judged"))
-    done = parted.filter(~F.coalesce(open_, F.lit(False))).withColumn("verdict", F.coalesce("said", F.lit("allow"))).drop("said")
-    rest = parted.filter(open_).join(verdicts, "url").withColumn("verdict", F.col("judged")).drop("said", "judged")
-    return done.unionByName(rest)
+    host, path = F.col("__host"), F.col("__path")
+    rule, said = ruled(host, path, rules)
+    parted = pages.select(*keep, host_of(F.col("url")).alias("__host"), path_of(F.col("url")).alias("__path"))
+    parted = parted.withColumns({"__rule": rule, "__said": said})
+    done = lambda rows, verdict: rows.select(*keep, host.alias("host"), path.alias("path"), F.col("__rule").alias("rule"), verdict.alias("verdict"))
+    with scratch(pages.sparkSession) as hold:
+        urls = parted.filter(F.length("url") > 0).groupBy("url").agg(F.first("__said").alias("said"))
+        urls = materialize(urls.withColumn("symbols", symbols(F.col("url"))), "urls")
+        apart = F.conv(F.substring(F.md5("url"), 1, 8), 16, 10).cast("long") % 10 < held
+        decided = urls.filter("said is not null").withColumn("accepted", F.col("said") == "allow").select("url", "symbols", "accepted")
+        kinds = {x["accepted"] for x in decided.select("accepted").distinct().collect()}  # two values at most
+        if len(kinds) < 2:
+            return done(parted, F.coalesce("__said", F.lit("allow")))
+        train, check = decided.filter(~apart), decided.filter(apart)
+        asked = urls.filter(F.col("said").isNull() | apart).select("url", "symbols")
+        scored = hold(materialize(scores(asked, train), "scored"))
+        cut = calibrate(scored.join(check.select("url", "accepted"), "url"))
+    open_ = F.coalesce(F.col("__said").isNull() & (F.length("url") > 0), F.lit(False))
+    verdicts = scored.select(F.col("url").alias("__url"), F.when(F.col("score") >= cut, "allow").otherwise("block").alias("__judged"))
+    rest = parted.filter(open_).join(verdicts, F.col("url") == F.col("__url"))
+    return done(parted.filter(~open_), F.coalesce("__said", F.lit("allow"))).unionByName(done(rest, F.col("__judged")))
 
 
 def op6_urls(spark, sf_dir) -> DataFrame:
