@@ -420,9 +420,10 @@ def test_language(spark, odd):
 def test_every_language_is_learned(spark):
     rows = [(i, chr(0x4E00 + i % 70) * 40, f"l{i % 70:02}", "s") for i in range(700)]
     docs = spark.createDataFrame(rows, DOCS)
-    assert len(langid.train(docs, steps=1).languages) == 70
+    model = langid.train(docs, steps=1)
+    assert len(model.languages) == 70
     with pytest.raises(ValueError):
-        langid.train(docs, most_languages=64)
+        langid.label(docs, model, "lang")
 
 
 # ---- PII
