@@ -250,9 +250,9 @@ def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
     with scratch(spark) as keep:
         own = [F.col(f"`{c}`") for c in names]
         hits = F.when(may_hold(F.col("text")), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-        found = docs.select(*own, F.when(F.size(hits) > 0, hits).alias("__pii_values"))
+        found = docs.select(*own, hits.alias("__pii_values"))  # by itself, so that nothing evaluates it twice
         # one list, however many copies of a text hold it; no entity holds a line end
-        found = found.withColumn("__pii_list", F.md5(F.array_join("__pii_values", "\n")))
+        found = found.withColumn("__pii_list", F.when(F.size("__pii_values") > 0, F.md5(F.array_join("__pii_values", "\n"))))
         found = keep(materialize(found, "found"))
         lists = found.filter("__pii_list is not null").groupBy("__pii_list").agg(F.first("__pii_values").alias("values"))
         places = materialize(lists.select("__pii_list", F.posexplode("values").alias("at", "value")), "places")
@@ -263,9 +263,9 @@ def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
         new = values.join(settled, ["kind", "canon"]).select("value", render(F.col("kind"), F.col("value"), F.col("found")).alias("new"))
         each = places.join(materialize(new, "new"), "value").groupBy("__pii_list").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("news"))
         news = keep(materialize(each.select("__pii_list", F.col("news.new").alias("__pii_new")), "news"))
-    gaps = F.split("text", ANY, -1)
+    changed = found.filter("__pii_list is not null").join(news, "__pii_list").withColumn("__pii_gaps", F.split("text", ANY, -1))
+    gaps = F.col("__pii_gaps")
     text = F.concat(gaps[0], F.array_join(F.zip_with(F.slice(gaps, 2, 1 << 30), F.col("__pii_new"), lambda gap, new: F.concat(new, gap)), ""))
-    changed = found.filter("__pii_list is not null").join(news, "__pii_list")
     changed = changed.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], F.size("__pii_new").cast("long").alias("entities"))
     return found.filter("__pii_list is null").select(*own, F.lit(0).cast("long").alias("entities")).unionByName(changed)
 
