@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Words that ban a title, and the mark that ends a description.
 BLACKLIST = ("QA", "TA", "Homework", "助教", "Guest")
 END_MARK = "[END]"
+# What is cut from descriptions and from model output, and the characters that end a prompt.
+DESCRIBE, STOP, END_OF_TEXT = "Describe :", "|end|>", "<|endoftext|>"
 
 
 def sanitize_title(title: Column) -> Column:
@@ -33,6 +35,16 @@ def stem_last(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
+def drop_anywhere(name: Column, suffix: str) -> Column:
+    """Every occurrence of a suffix, wherever it stands."""
+    return F.replace(name, F.lit(suffix), F.lit(""))
+
+
+def cut_end(name: Column, n: int) -> Column:
+    """Without the last ``n`` characters, whatever they are."""
+    return F.substring(name, F.lit(1), F.greatest(F.length(name) - n, F.lit(0)))
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -55,6 +67,16 @@ def drop_literal(text: Column, literal: str) -> Column:
     return F.replace(text, F.lit(literal), F.lit(""))
 
 
+def clean_output(text: Column) -> Column:
+    """Model output without its stop mark."""
+    return drop_literal(text, STOP)
+
+
+def prompt_end(prompt: Column) -> Column:
+    """A prompt without the characters of the end-of-text mark, if it ends with that mark."""
+    return F.when(prompt.endswith(END_OF_TEXT), rstrip_chars(prompt, END_OF_TEXT)).otherwise(prompt)
+
+
 def occurrences(text: Column, literal: str) -> Column:
     """How often a non-empty literal stands in the text."""
     return (F.length(text) - F.length(drop_literal(text, literal))) / len(literal)
@@ -108,6 +130,7 @@ def candidates(options: Column) -> Column:
     return F.array_join(F.transform(options, lambda o, i: F.concat(F.lit("\n"), i.cast("string"), F.lit(':"'), o, F.lit('"'))), "")
 
 
+# A region's tag, and what ends a training answer.
 def image_tags(count: Column, first: int = 2) -> Column:
     """A tag for each region; the page itself is image 1."""
     tags = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.concat(F.lit("<|image_"), (i + first - 1).cast("string"), F.lit("|>")))

@@ -6,43 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BAND_MS = 15_000
+BLOCK = 512  # cues of a timeline that are walked together
 
 
-def context_runs(cues: DataFrame, keys: list[str], band: int = BAND_MS, i: str = "i", mid: str = "mid") -> DataFrame:
+def context_runs(cues: DataFrame, keys: list[str], band: int = BAND_MS, i: str = "i", mid: str = "mid", block: int = BLOCK) -> DataFrame:
     """keys, i, mid, previous, next: arrays of (i, mid), ascending.
 
-    A run ends at the first cue outside the band, so cues beyond it stay out even if they are inside. Where midpoints never fall along
-    the order this is a range frame; the other timelines are walked outward from each cue, one timeline's cues in a row.
+    A run ends at the first cue outside the band, so cues beyond it stay out even if they are inside. A timeline is cut into blocks of
+    ordinals. A run is no longer than the number of cues inside the band, wherever they stand; a block gets as many cues of its
+    neighbours as the longest run in it may need, so a long timeline is walked by many tasks.
     """
-    ordered = Window.partitionBy(*keys).orderBy(i)
-    falls = (F.col(mid) < F.lag(mid).over(ordered)).cast("int")
-    marked = cues.select(*keys, i, mid).withColumn("__falls", falls)
-    whole = Window.partitionBy(*keys)
-    marked = marked.withColumn("__odd", F.coalesce(F.max("__falls").over(whole), F.lit(0)) > 0).drop("__falls")
-    columns = [*keys, i, mid, "previous", "next"]
-    return _monotone(marked.filter(~F.col("__odd")), keys, band, i, mid).select(*columns).unionByName(_exact(marked.filter("__odd"), keys, band, i, mid).select(*columns))
-
-
-def _monotone(cues: DataFrame, keys: list[str], band: int, i: str, mid: str) -> DataFrame:
-    frame = Window.partitionBy(*keys).orderBy(mid).rangeBetween(-band, band)
-    near = F.array_sort(F.collect_list(F.struct(F.col(i).alias("i"), F.col(mid).alias("mid"))).over(frame))
-    made = cues.withColumn("__near", near)
-    return made.withColumn("previous", F.filter("__near", lambda n: n["i"] < F.col(i))).withColumn("next", F.filter("__near", lambda n: n["i"] > F.col(i)))
-
-
-def _exact(cues: DataFrame, keys: list[str], band: int, i: str, mid: str) -> DataFrame:
-    """Outward from each cue until the band breaks; a timeline is one video, so its cues fit in a row. A run is no longer
-    than the number of cues inside the band, wherever they stand, and no more than that many are looked at on either side."""
-    inside = F.count("*").over(Window.partitionBy(*keys).orderBy(mid).rangeBetween(-band, band))
-    line = cues.withColumn("__n", inside).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(i).alias("i"), F.col(mid).alias("mid"), F.col("__n").cast("int").alias("n")))).alias("line"))
-
-    def around(c, at):
-        reach = F.least(at, c["n"])
-        before, after = F.slice("line", at - reach + 1, reach), F.slice("line", at + 2, c["n"])
+    inside = F.count("*").over(Window.partitionBy(*keys).orderBy(mid).rangeBetween(-band, band)).cast("int")
+    at = (F.row_number().over(Window.partitionBy(*keys).orderBy(i)) - 1).alias("at")
+    rows = cues.select(*keys, F.col(i).alias("i"), F.col(mid).alias("mid"), inside.alias("n"), at).withColumn("block", F.expr(f"at div {block}"))
+    reach = rows.groupBy(*keys, "block").agg(F.max("n").alias("m"))
+    first, last = F.greatest(F.lit(0).cast("long"), F.expr(f"(block * {block} - m) div {block}")), F.expr(f"((block + 1) * {block} - 1 + m) div {block}")
+    needs = reach.select(*keys, F.col("block").alias("own"), F.explode(F.sequence(first, last)).alias("block"))
+    line = needs.join(rows, [*keys, "block"]).groupBy(*keys, "own").agg(F.array_sort(F.collect_list(F.struct("at", "i", "mid", "n", "block"))).alias("line"))
+
+    def around(c, place):
+        reach = F.least(place, c["n"])
+        before, after = F.slice("line", place - reach + 1, reach), F.slice("line", place + 2, c["n"])
         out = lambda x: F.abs(x["mid"] - c["mid"]) > band
         far = F.aggregate(F.transform(before, lambda x, k: F.when(out(x), k).otherwise(F.lit(-1))), F.lit(-1), lambda a, b: F.greatest(a, b))
         stop = F.aggregate(F.transform(after, lambda x, k: F.when(out(x), k).otherwise(F.size(after))), F.size(after), lambda a, b: F.least(a, b))
         pair = lambda a: F.transform(a, lambda x: F.struct(x["i"].alias("i"), x["mid"].alias("mid")))
-        return F.struct(c["i"].alias(i), c["mid"].alias(mid), pair(F.slice(before, far + 2, F.size(before))).alias("previous"), pair(F.slice(after, F.lit(1), stop)).alias("next"))
+        found = F.struct(c["i"].alias(i), c["mid"].alias(mid), pair(F.slice(before, far + 2, F.size(before))).alias("previous"), pair(F.slice(after, F.lit(1), stop)).alias("next"))
+        return F.when(c["block"] == F.col("own"), found)
 
-    return line.select(*keys, F.explode(F.transform("line", around)).alias("c")).select(*keys, "c.*")
+    return line.select(*keys, F.explode(F.transform("line", around)).alias("c")).filter("c is not null").select(*keys, "c.*")

@@ -20,6 +20,13 @@ SYSTEM = (
     "closest narrative. Focus on the meaning and context of the text, rather than exact word matches."
 )
 VALID_COURSES = ("ML2022",)
+# The translator's system message and what stands before a text.
+TRANSLATE_SYSTEM = (
+    "You are a professional translator specializing in English-to-Traditional Chinese (繁體中文) translation.         "
+    "Ensure that your translations are accurate, fluent, and natural, preserving the original tone and intent of the text.         "
+    "Do not include any explanations, labels, or formatting—only output the translated text."
+)
+TRANSLATE_USER = "Translate the following English text into Traditional Chinese (繁體中文):\n\n"
 
 
 def prompt(subtitle: Column, options: Column) -> Column:
@@ -55,10 +62,10 @@ def subtitles(contexts: DataFrame, texts: str = "texts") -> Column:
     return T.subtitle(F.transform("previous", lambda p: at(p["text_id"])), at(F.col("current")), F.transform("next", lambda n: at(n["text_id"])))
 
 
-def samples(answered: DataFrame) -> DataFrame:
+def samples(answered: DataFrame, valid=VALID_COURSES) -> DataFrame:
     """D16 rows from course, video, subtitle, options, ans, key: those answered and with a choice."""
     some = answered.filter((F.col("ans") != -1) & (F.size("options") > 1))
-    some = some.withColumn("split", split_of(F.col("course"))).withColumn("shown", reorder(F.col("options"), F.col("key"), F.col("split") == "train"))
+    some = some.withColumn("split", split_of(F.col("course"), valid)).withColumn("shown", reorder(F.col("options"), F.col("key"), F.col("split") == "train"))
     label = relabel(F.col("options"), F.col("ans"), F.col("shown"))
     said = F.array(
         F.struct(F.lit("human").alias("from"), prompt(F.col("subtitle"), F.col("shown")).alias("value")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern import schemas
 from lectern.functions import text as T
 from lectern.functions import timecode as tc
+from lectern.operators import models
 
 CUE_TIMES = r"(\d{2,}:\d{2}:\d{2},\d{3}) --> (\d{2,}:\d{2}:\d{2},\d{3})"
 
@@ -23,6 +24,33 @@ def scan(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.select(from_path(F.col("path"), 3).alias("course"), from_path(F.col("path"), 2).alias("video"), from_path(F.col("path"), 1).alias("name"), "path", "length")
 
 
+def folders(files: DataFrame) -> DataFrame:
+    """course, video of the folders that hold a file at all: what is not a folder has no files in it."""
+    return files.select("course", "video").distinct()
+
+
+def entities(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """As ``scan``, with the name's stem; a root that is not there has no files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "course string, video string, name string, path string, length long, stem string")
+    return scan(spark, root, glob).withColumn("stem", T.stem_last(F.col("name")))
+
+
+def ending(files: DataFrame, suffix: str) -> DataFrame:
+    return files.filter(F.col("name").endswith(suffix))
+
+
+def beside(files: DataFrame, siblings: DataFrame, keys: list[str]) -> DataFrame:
+    """Files whose entity also has a sibling."""
+    return files.join(siblings.select(*keys), keys, "left_semi")
+
+
+def by_name(files: DataFrame) -> DataFrame:
+    """In the order of names as texts, ``page_10`` before ``page_2``."""
+    return files.orderBy("course", "video", "name")
+
+
 def images(spark: SparkSession, root: str, glob: str = "*.jpg") -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
     return files.select("path", T.trailing_number(T.basename(F.col("path"))).alias("screenshot_id"), "content")
@@ -81,6 +109,12 @@ def aoi(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("f.shape").alias("shape"), F.posexplode("f.AOI").alias("aoi_idx", "b")).select("path", "shape", "aoi_idx", F.col("b.boxes").alias("boxes"), F.col("b.score").alias("score"), F.col("b.class").alias("class"))
 
 
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """name, file_name of a JSON registry of data sets."""
+    made = whole_text(spark, path).select(F.explode(F.from_json("value", "map<string,struct<file_name:string,formatting:string>>")).alias("name", "d"))
+    return made.select("name", "d.file_name", "d.formatting")
+
+
 def with_missing(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Every expected entity, its content null where the file is missing."""
     return expected.join(found, keys, "left")
@@ -90,6 +124,12 @@ def cardinality(files: DataFrame, *keys: str) -> DataFrame:
     return files.groupBy(*keys).agg(F.count("*").alias("files"))
 
 
-def playlist(spark: SparkSession, entries: list[tuple[str, str]]) -> DataFrame:
-    """url, name of configured playlists. Listing a remote playlist and downloading its media are left to a connector."""
-    return spark.createDataFrame(entries, "url string, name string")
+def playlist(spark: SparkSession, entries: list[tuple[str, str]], listing=None) -> DataFrame:
+    """url, name of configured playlists. With ``listing``, a factory of a callable from playlist addresses to lists of (title, url),
+    their videos: course, title, url, without banned titles. Downloading media is left to a connector."""
+    lists = spark.createDataFrame(entries, "url string, name string")
+    if listing is None:
+        return lists
+    found = models.apply_model(lists, listing, "url", "videos", "array<struct<title:string,url:string>>")
+    each = found.select(F.col("name").alias("course"), F.explode("videos").alias("v")).select("course", T.sanitize_title(F.col("v.title")).alias("title"), "v.url")
+    return each.filter(T.allowed_title(F.col("title")))

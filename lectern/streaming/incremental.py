@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def process_new(spark: SparkSession, source: str, glob: str, schema: str, out: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] = lambda d: d) -> int:
-    """Run ``step`` over the files not seen before and append to ``out``; rows written by this run."""
+def process_new(spark: SparkSession, source: str, glob: str, schema: str, out: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
+    """Run ``step`` over the files not seen before and append to ``out``. How many rows that were is in ``out``'s own log."""
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source)
     query = step(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
