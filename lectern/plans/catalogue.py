@@ -242,12 +242,13 @@ def q30_phash_hamming(spark, sf):
 
 def _raw(spark, sf) -> DataFrame:
     turns = table(spark, sf, "conversations")
-    chunk = F.concat(F.lit("\n\nImage "), (F.col("turn") % 2).cast("string"), F.lit(": **"), F.col("text"), F.lit("**\n[END]"))
+    body = F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") % 2 == 1), "").otherwise(F.col("text"))
+    chunk = F.concat(F.lit("\n\nImage "), (F.col("turn") % 2).cast("string"), F.lit(": **"), body, F.lit("**\n[END]"))
     parts = F.array_sort(F.collect_list(F.struct("turn", chunk.alias("c"))))
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["c"]), "").alias("raw"))
 
 
-_FOUND = r"""WITH f AS (SELECT conv_id, (turn % 2)::INT AS k, arg_max(regexp_replace(regexp_replace(regexp_replace('**' || text || '**', '^\s+|\s+$', '', 'g'), '^\*+|\*+$', '', 'g'), '^\s+|\s+$', '', 'g'), turn) AS body
+_FOUND = r"""WITH f AS (SELECT conv_id, (turn % 2)::INT AS k, arg_max(regexp_replace(regexp_replace(regexp_replace('**' || CASE WHEN conv_id % 7 = 0 AND turn % 2 = 1 THEN '' ELSE text END || '**', '^\s+|\s+$', '', 'g'), '^\*+|\*+$', '', 'g'), '^\s+|\s+$', '', 'g'), turn) AS body
 FROM conversations GROUP BY 1, 2) """
 
 
@@ -366,7 +367,7 @@ def q31_nested_roundtrip(spark, sf):
     return back.select("d.conv_id", F.explode("d.items").alias("x")).select("conv_id", "x.turn", "x.role", F.length("x.text").alias("n"))
 
 
-@query()
+@query("SELECT event_id, event_type, value FROM events")
 def q32_incremental(spark, sf):
     out, mark = work_path(spark, "incremental"), work_path(spark, "incremental-state")
     schema = spark.read.parquet(f"{sf}/events.parquet").schema

@@ -160,23 +160,27 @@ def translate(t: Tables, c: Config) -> Tables:
     return {"descriptions": sinks.updated(rows, said.select(*PAGE, "aoi_idx", "chinese"), [*PAGE, "aoi_idx"])}
 
 
+def texts_of(cues: DataFrame) -> DataFrame:
+    """All texts of each video, in order."""
+    return cues.groupBy(*VIDEO).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("texts"))
+
+
 def contexts(t: Tables, c: Config) -> DataFrame:
-    """A row for each cue with a screenshot: current, previous and next with signed distances, the midpoint, the whole video's texts."""
+    """A row for each cue with a screenshot: current, previous and next with signed distances, the midpoint."""
     cues = t["cues"].withColumn("mid", tc.midpoint_ms(F.col("start_ms"), F.col("end_ms")))
-    texts = cues.groupBy(*VIDEO).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("texts"))
     away = lambda a, ms: F.transform(a, lambda x: F.struct(x["i"].alias("text_id"), tc.format_ms(ms(x)).alias("time")))
     runs = context.context_runs(cues, VIDEO, c.band_ms).withColumn("screenshot_id", F.col("i") + 1)
     runs = worklist.existing(runs, t["screenshots"], SHOT)
-    return runs.join(texts, VIDEO).select(
+    return runs.select(
         *SHOT, F.col("i").alias("current"), away("previous", lambda x: F.col("mid") - x["mid"]).alias("previous"), away("next", lambda x: x["mid"] - F.col("mid")).alias("next"),
-        tc.format_ms(F.col("mid")).alias("current_midpoint"), "texts",
+        tc.format_ms(F.col("mid")).alias("current_midpoint"),
     )
 
 
-def nested(rows: DataFrame) -> DataFrame:
+def nested(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """The base data set: a document a video, ``texts`` and ``context_list`` in order."""
-    item = F.struct("screenshot_id", *[c for c in rows.columns if c not in (*SHOT, "texts")])
-    return rows.groupBy(*VIDEO).agg(F.first("texts").alias("texts"), F.array_sort(F.collect_list(item)).alias("context_list"))
+    item = F.struct("screenshot_id", *[c for c in rows.columns if c not in SHOT])
+    return texts.join(rows.groupBy(*VIDEO).agg(F.array_sort(F.collect_list(item)).alias("context_list")), VIDEO)
 
 
 def courses(base: DataFrame) -> DataFrame:
@@ -223,8 +227,10 @@ def dataset(t: Tables, c: Config) -> Tables:
     if "descriptions_aoi" in t:
         told = worklist.whole_source(t["descriptions_aoi"].select(*PAGE, "aoi_idx", "body"), told, PAGE)
     told = mcq.gathered(told.withColumn("body", T.drop_literal(F.col("body"), T.DESCRIBE)), PAGE)
-    ready = there.withColumn("subtitle", mcq.subtitles(there)).select(*PAGE, "screenshot_id", "subtitle").join(answered, SHOT).join(told.filter("gapless"), PAGE)
-    out = {"base": nested(base), "answers": answered, "detections": t["detections"], "page_errors": beyond, "description_gaps": told.filter("not gapless").select(*PAGE)}
+    texts = texts_of(t["cues"])
+    spoken = there.join(texts, VIDEO)
+    ready = spoken.withColumn("subtitle", mcq.subtitles(spoken)).select(*PAGE, "screenshot_id", "subtitle").join(answered, SHOT).join(told.filter("gapless"), PAGE)
+    out = {"base": nested(base, texts), "answers": answered, "detections": t["detections"], "page_errors": beyond, "description_gaps": told.filter("not gapless").select(*PAGE)}
     return out | ({"laser_errors": t["laser_errors"]} if "laser_errors" in t else {}) | {"samples": mcq.samples(ready.withColumn("key", F.col("screenshot_id").cast("bigint")), c.valid_courses)}
 
 
