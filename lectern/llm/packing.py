@@ -19,6 +19,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,18 @@ from lectern.llm.common import materialize, ship, shipped, slices, table
 #: Partition number times this plus the window's number is a sequence's id, and plus a document's number its row; those of merged windows follow MERGED.
 SPAN = 1 << 32
 MERGED = 1 << 61
+CHARS = 4_000_000  # of texts that are looked up together
+TOGETHER = 4096  # words that the tokenizer gets as one text
+
+
+def _lowered(text: str) -> str | None:
+    """The text in lower case, where the tokenizer surely makes the same of both: it composes first, then lowers letter by letter."""
+    if "<" in text:
+        return None
+    if text.isascii():
+        return text.lower()
+    low = text.lower()
+    return low if "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", low) else None
 
 
 class WordTokenizer:
@@ -46,6 +59,7 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
         self.keep, self.longest, self.short = keep, longest, short
         self.marks = {m: np.asarray(self.inner.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,;:!?"}
+        self.bar = self.inner.encode("|", add_special_tokens=False).ids
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -54,32 +68,74 @@ class WordTokenizer:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit little-endian numbers."""
-        cut = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as unsigned 32-bit little-endian numbers; texts are looked up together, ``CHARS`` at a time."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= CHARS:
+                yield from self._ids(group)
+                group, size = [], 0
+        if group:
+            yield from self._ids(group)
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        blank = [(_lowered(t) or t).replace("\t", " ").replace("\n", " ").replace("\r", " ") for t in texts]
+        cut = pc.split_pattern(pa.array(blank, pa.large_string()), " ")
+        ends = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        of = self._words(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(of), "<u4")
+        sizes = np.fromiter(map(len, of), np.int64, len(of)) // 4
+        begins = np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy()
+        length = sizes[word]
+        at = np.concatenate([[0], np.cumsum(length)])
+        raw = flat[np.repeat(begins[word] - at[:-1], length) + np.arange(at[-1])].tobytes()
+        bounds = 4 * at[ends - ends[0]]
+        for k in range(len(texts)):
+            yield raw[bounds[k] : bounds[k + 1]]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the distinct words."""
         if len(self.known) > self.keep:
             self.known.clear()
         known = self.known
-        new = set().union(*cut).difference(known)
-        stems = {word: self._stem(word) for word in new}
-        missing = list({stem for stem, _ in stems.values()}.difference(known))
-        for e, stem in zip(self.inner.encode_batch_fast(missing, add_special_tokens=False), missing):
-            known[stem] = np.asarray(e.ids, "<u4").tobytes()
-        for word, (stem, mark) in stems.items():
-            known[word] = known[stem] + (self.marks[mark] if mark else b"")
-        ids = [b"".join(map(known.__getitem__, words)) for words in cut]
-        for word in [w for w, (s, _) in stems.items() if w != s and len(w) > self.short] + [s for s in missing if len(s) > self.longest]:
+        found = list(map(known.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        stems = [self._stem(words[k]) for k in new]
+        missing = list({stem for stem, _ in stems}.difference(known))
+        known.update(zip(missing, self._encoded(missing)))
+        for k, (stem, mark) in zip(new, stems):
+            found[k] = known[words[k]] = known[stem] + (self.marks[mark] if mark else b"")
+        for word in [words[k] for k, (s, _) in zip(new, stems) if words[k] != s and len(words[k]) > self.short] + [s for s in missing if len(s) > self.longest]:
             known.pop(word, None)
-        return ids
+        return found
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """By the tokenizer. Words without a bar are given to it as one text with bars between: only a bar has a bar's id."""
+        plain = [w for w in words if "|" not in w and "<" not in w] if len(self.bar) == 1 else []
+        done = dict.fromkeys(plain)
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            ids = np.asarray(self.inner.encode_batch_fast([" | ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self.bar[0])).tolist()
+            if len(cuts) == len(some) - 1:
+                done.update(zip(some, (raw[i:j] for i, j in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)]))))
+        rest = [w for w in words if done.get(w) is None]
+        for e, word in zip(self.inner.encode_batch_fast(rest, add_special_tokens=False), rest):
+            done[word] = np.asarray(e.ids, "<u4").tobytes()
+        return [done[w] for w in words]
 
     def _stem(self, word: str) -> tuple[str, str]:
         """The word in lower case and without one closing mark, and that mark, where the tokenizer surely sees it so.
 
         It lowers letter by letter after composing, and a single mark after a letter or digit is a token run of its own.
         """
-        if "<" in word or not (word.isascii() or ("Σ" not in word and is_normalized("NFC", word))):
+        low = _lowered(word)
+        if low is None:
             return word, ""
-        low = word.lower()
         if len(low) > 1 and low[-1] in self.marks and low[-2].isalnum():
             return low[:-1], low[-1]
         return low, ""
@@ -113,7 +169,7 @@ def place(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int
             offset += piece[2]
             size += len(piece[3])
 
-    for rows in slices(batches):
+    for rows in slices(batches, 2048):
         texts = [(x or b"").decode("utf-8", "replace") for x in rows.column(1).to_pylist()]
         for doc_id, ids in zip(rows.column(0).to_pylist(), tokenize(texts)):
             ids += end
