@@ -35,7 +35,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: that with the smallest doc_id, one row of equal ones.
 
-    Near-duplicates have a Jaccard similarity of 0.8 or more of their five-word shingles. Groups are of texts, so rows that share
+    Near-duplicates have a Jaccard similarity of 0.8 or more of their five-word shingles; they are searched by SimHash fingerprints with
+    Golay keys, and exactly among what those leave apart. Groups are of texts, so rows that share
     a doc_id may be in several; a row without a doc_id stays only where a group has no row with one. Null texts, empty ones and those
     of white space are one group. A very long text is one set of shingles. An empty table stays empty.
     """

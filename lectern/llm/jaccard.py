@@ -1,12 +1,13 @@
 """Near-duplicates by exact similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, components.
 
-Candidates come from an exact prefix filter. All shingles have one order: those that are common in a sample last, then by hash.
-Two sets at 0.8 or more share a shingle among the first n - ceil(0.8 n) + 1 of each, so those are the keys. The sample only sets
-the order: it decides what a search costs, never what it finds.
-
-Each distinct set gets keys once, so exact copies never multiply. First each set of a key is paired with two pivots of the key,
-which joins dense groups; a key of up to three sets is done then. In larger keys, pairs that are not yet joined are taken, once for
-all keys that share a root; a key with more than ``BLOCK`` sets is compared in blocks. Parity bitmaps of about a bit a shingle rule out nearly all strangers: they
+Each distinct set gets a fingerprint and keys once, so exact copies never multiply. First the fingerprints are searched by
+``simhash.links``, with its Golay keys: sets of one fingerprint, and of two that are linked, are candidates, which the sets confirm.
+Fingerprints miss many pairs at 0.8, so what they leave apart goes through an exact prefix filter. All shingles have one order there:
+those that are common in a sample last, then by hash. Two sets at 0.8 or more share a shingle among the first n - ceil(0.8 n) + 1 of
+each, so those are the keys. The sample only sets the order: it decides what a search costs, never what it finds.
+
+Each set of a key is paired with two pivots of the key that it is not yet joined to, which joins dense groups; a key of up to three
+sets is done then. In larger keys, pairs that are not yet joined are taken, once for all keys that share a root; a key with more than ``BLOCK`` sets is compared in blocks. Parity bitmaps of about a bit a shingle rule out nearly all strangers: they
 never differ in more bits than the sets differ in shingles. What is left is verified with the sets themselves.
 
 Shingles are 64-bit hashes of A-Z lower-cased words between white space; a text of five words or fewer is one shingle. Rows and
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm import simhash
 from lectern.llm.common import materialize, scratch, slices
 from lectern.llm.simhash import components
 
@@ -117,17 +119,17 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def keyed(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, row, sig (hash of the set), sketch, keys of each row of ``doc_id, row, text``."""
+    """doc_id, row, sig (hash of the set), fp (its fingerprint), sketch, keys of each row of ``doc_id, row, text``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             sets = [shingle_set(t or b"") for t in b.column(2).to_pylist()]
             sigs = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            made = [pa.array(sigs), pa.array([sketch(s) for s in sets], pa.binary())]
+            made = [pa.array(sigs), pa.array([simhash.majority(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
             keys = pa.array([prefix(s, common).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, keys], ["doc_id", "row", "sig", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, keys], ["doc_id", "row", "sig", "fp", "sketch", "keys"])
 
-    schema = "doc_id long, row long, sig long, sketch binary, keys array<long>"
+    schema = "doc_id long, row long, sig long, fp long, sketch binary, keys array<long>"
     return rows.select("doc_id", "row", F.col("text").cast("binary")).mapInArrow(each, schema)
 
 
@@ -203,17 +205,40 @@ class Sketches:
         return np.concatenate(a), np.concatenate(b)
 
 
+def near_fingerprints(distinct: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges a, b of similar sets that have one fingerprint, or two that ``simhash.links`` links.
+
+    A set is verified with the smallest of those that its fingerprint and bitmap admit; the prefix filter looks at what that leaves apart.
+    """
+    heads = materialize(distinct.groupBy("fp").agg(F.min("sig").alias("head")), "heads")
+    same = distinct.join(heads, "fp").filter("sig <> head").select(F.col("sig").alias("a"), F.col("head").alias("b"))
+    found = simhash.links(heads.select("fp"), block).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
+    found = found.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    sketches = distinct.select("sig", F.col("sketch").alias("value"))
+    likely = judged(materialize(same.unionByName(found), "fingerprinted"), sketches, sketches_agree, "alike")
+    return verified(materialize(likely.groupBy("a").agg(F.min("b").alias("b")), "nearest"), distinct, rows)
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` that are not in one component yet."""
+    for end in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}")), end, "left")
+    return pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def links(distinct: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges a, b that connect just what pairs of similar sets connect; ``distinct`` has each sig once."""
+    first = near_fingerprints(distinct, rows, block)
+    joined = components(first)
     posted = distinct.select("sig", F.explode("keys").alias("key"))
     of_key = Window.partitionBy("key")
     shared = posted.withColumn("c", F.count("*").over(of_key)).filter("c > 1")
     shared = shared.withColumn("low", F.min("sig").over(of_key)).withColumn("high", F.max("sig").over(of_key))
     shared = materialize(shared, "shared")
-    pairs = shared.select(F.col("sig").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").distinct()
+    pairs = apart(shared.select(F.col("sig").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").distinct(), joined)
     sketches = distinct.select("sig", F.col("sketch").alias("value"))
     likely = judged(materialize(pairs, "pivoted"), sketches, sketches_agree, "likely")
-    edges = verified(likely, distinct, rows)
+    edges = materialize(first.unionByName(verified(likely, distinct, rows)), "found")
     large = shared.filter(F.col("c") > PIVOTED)
     if large.isEmpty():
         return edges
@@ -266,7 +291,7 @@ def representatives(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = rows.sparkSession
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
     with scratch(spark) as keep:
-        made = keyed(rows, common_shingles(rows)).groupBy("sig").agg(best, F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+        made = keyed(rows, common_shingles(rows)).groupBy("sig").agg(best, F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
         distinct = materialize(made, "distinct")
         roots = materialize(components(links(distinct, rows, block)), "roots")
         named = distinct.select("sig", "best").join(roots, distinct["sig"] == roots["node"], "left").select(F.coalesce("root", "sig").alias("root"), "best")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import jaccard
+from lectern.llm import common, jaccard, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -89,6 +89,37 @@ def test_three_word_links_are_no_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in got) == [1, 2]
 
 
+def distinct_of(spark, pairs):
+    """The table of distinct sets that links() gets, and the rows behind it."""
+    rows = spark.createDataFrame([(i, i, t) for i, t in pairs], "doc_id long, row long, text string").repartition(3)
+    made = jaccard.keyed(rows, np.empty(0, np.uint64)).select("sig", "fp", "sketch", "keys", F.struct(F.lit(False).alias("no_id"), "doc_id", "row").alias("best"))
+    return common.materialize(made.dropDuplicates(["sig"]), "distinct"), rows
+
+
+def test_deduplicate_goes_through_fingerprints(spark, monkeypatch):
+    """Sets within 3 bits of one another come by the fingerprint operator; each of its pairs is confirmed, and the filter gets the rest."""
+    base = [f"v{i}" for i in range(400)]
+    copies = [(k, " ".join(base[:k] + ["new"] + base[k + 1 :])) for k in range(30, 330, 10)]
+    pairs = [(1000, " ".join(base)), *copies, *((2000 + i, t) for i, t in planted(groups_of=(2, 2)))]
+    bits = {i: simhash.majority(jaccard.shingle_set(t.encode())) for i, t in pairs}
+    close = [i for i, _ in copies if 0 < ((bits[i] ^ bits[1000]) & (2**64 - 1)).bit_count() <= simhash.BITS]
+    assert len(close) > 3
+    asked, searched, search = [], simhash.links, jaccard.apart
+    monkeypatch.setattr(simhash, "links", lambda fps, block: asked.extend(r["fp"] for r in fps.collect()) or searched(fps, block))
+    left = []
+    monkeypatch.setattr(jaccard, "apart", lambda found, roots: left.append((found.count(), search(found, roots).count())) or search(found, roots))
+    distinct, rows = distinct_of(spark, pairs)
+    name = {r["sig"]: r["best"]["doc_id"] for r in distinct.collect()}
+    texts = dict(pairs)
+    edges = [(name[r["a"]], name[r["b"]]) for r in jaccard.near_fingerprints(distinct, rows).collect()]
+    assert set(asked) == set(bits.values())
+    assert all(near(shingles(texts[a]), shingles(texts[b])) for a, b in edges)
+    assert set(close) <= {i for e in edges for i in e}
+    got = corpus_pipeline.deduplicate(spark, frame(spark, pairs), "").collect()
+    assert sorted((False, r["doc_id"]) for r in got) == kept(pairs)
+    assert left[0][1] < left[0][0]  # pairs that the fingerprints have joined aren't looked at again
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(5)
     common = np.sort(rng.integers(0, 2000, 300).astype(np.uint64))
