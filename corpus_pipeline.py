@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize, scratch
+from lectern.llm.common import few, materialize, scratch
 from lectern.llm.jaccard import representatives
 from lectern.llm.langid import label, train
 from lectern.llm.mixing import mix_documents
@@ -43,8 +43,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = [F.col(f"`{c}`") for c in docs.columns]
     known = docs.withColumn("__row", F.xxhash64(*names))
     keep = representatives(known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), "text")).select(F.col("row").alias("__row"))
-    again = known.groupBy("__row").count().filter("count > 1").select("__row")  # equal rows
-    kept = known.join(keep, "__row", "left_semi")
+    counted = known.groupBy("__row").count()
+    gone = few(materialize(counted.join(keep, "__row", "left_anti").select("__row"), "gone"))  # fewer than what stays, as a rule
+    again = few(materialize(counted.filter("count > 1").select("__row"), "again"))  # equal rows
+    kept = known.join(gone, "__row", "left_anti")
     single = kept.join(again, "__row", "left_anti").select(*names)
     return single.unionByName(kept.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(*names))
 

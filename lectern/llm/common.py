@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -20,6 +21,8 @@ _LOCAL_WORK: dict[str, str] = {}
 _LEFT: set[str] = set()  # work tables that are still there
 _SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 COPIES = 1 << 16  # copies of a row that one task makes
+FEW = 1 << 20  # rows of two numbers that are broadcast at most
+CACHES: list[dict] = []  # what operators keep in a worker from task to task
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +117,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def settle(own: dict | None = None) -> None:
+    """At the start of a task: a worker serves all operators, so what others keep in it goes, and freed memory back to the system."""
+    for cache in CACHES:
+        if cache is not own:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def few(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """Written rows of two numbers or less, marked for a broadcast if they are few: what they are joined with stays where it is then."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def ship(spark: SparkSession, path: str) -> str:
     """Give a file of the driver's machine to all executors; the name that ``shipped`` finds it by."""
     spark.sparkContext.addFile(path)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import simhash
-from lectern.llm.common import materialize, scratch, slices
+from lectern.llm.common import few, materialize, scratch, settle, slices
 from lectern.llm.simhash import components
 
 WORDS = 5
@@ -122,6 +122,7 @@ def keyed(rows: DataFrame, common: np.ndarray) -> DataFrame:
     """doc_id, row, sig (hash of the set), fp (its fingerprint), sketch, keys of each row of ``doc_id, row, text``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in slices(batches, 64):
             sets = [shingle_set(t or b"") for t in b.column(2).to_pylist()]
             sigs = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
@@ -162,8 +163,8 @@ def verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFram
             made = [shingle_set(t or b"").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["sig", "value"])
 
-    wanted = distinct.join(ends_of(pairs), "sig", "left_semi").select("sig", "best.row")
-    texts = rows.join(wanted, "row").select("sig", F.col("text").cast("binary").alias("text")).dropDuplicates(["sig"])
+    wanted = materialize(distinct.join(ends_of(pairs), "sig", "left_semi").select("sig", "best.row"), "wanted")
+    texts = rows.join(few(wanted), "row").select("sig", F.col("text").cast("binary").alias("text")).dropDuplicates(["sig"])
     sets = materialize(texts.mapInArrow(sets_of, "sig long, value binary"), "sets")
     return judged(pairs, sets, lambda x, y: similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), "similar")
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import settle, table
 
 PAD = 256
 
@@ -230,6 +230,7 @@ def label(docs: DataFrame, model: ByteGRU | None, into: str = "language") -> Dat
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        settle()
         for texts in batches:
             prob = model.document_probabilities([t or b"" for t in texts])
             best = prob.argmax(axis=1)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize, ship, shipped, slices, table
+from lectern.llm.common import CACHES, materialize, settle, ship, shipped, slices, table
 
 #: Partition number times this plus the window's number is a sequence's id, and plus a document's number its row; those of merged windows follow MERGED.
 SPAN = 1 << 32
@@ -141,8 +141,12 @@ class WordTokenizer:
         return low, ""
 
 
+CACHES.append(WordTokenizer._of)
+
+
 def place(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, open_windows: int) -> Iterator[pa.RecordBatch]:
     """Pieces of one partition; those with window -1 are left over, their offset counting from the partition's first."""
+    settle(WordTokenizer._of)
     tokenize = WordTokenizer.of(shipped(path))
     part = TaskContext.get().partitionId()
     end = int(end_id).to_bytes(4, "little")

@@ -7,11 +7,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import common, jaccard, simhash
+from lectern.llm import common, jaccard, packing, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -120,6 +121,42 @@ def test_deduplicate_goes_through_fingerprints(spark, monkeypatch):
     assert left[0][1] < left[0][0]  # pairs that the fingerprints have joined aren't looked at again
 
 
+def test_a_worker_drops_what_other_operators_kept(spark, monkeypatch):
+    """The tokenizer and its words of a packing task are gone once the worker makes shingles; packing's own tasks keep them."""
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, each, _):
+            return each
+
+    monkeypatch.setattr(packing.WordTokenizer, "_of", kept_words := {"file": "tokenizer"})
+    monkeypatch.setattr(common, "CACHES", [kept_words], raising=False)
+    rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([b"a b c d e f"])], ["doc_id", "row", "text"])
+    assert sum(b.num_rows for b in jaccard.keyed(Rows(), np.empty(0, np.uint64))(iter([rows]))) == 1
+    assert not kept_words
+    kept_words["file"] = "tokenizer"
+    common.settle(kept_words)
+    assert kept_words
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_texts_stay_where_they_are(spark, monkeypatch, most):
+    """Few rows to drop are broadcast, and no text is shuffled but those of equal rows; many are joined by a shuffle, with one result."""
+    rows = [(i, f"text of number {i} that is its own and has some words", "en", "s", 1) for i in range(40)]
+    rows += [(100 + i, rows[i][1], "en", "s", 1) for i in range(10)] + [rows[20]] * 3
+    monkeypatch.setattr(common.few, "__defaults__", (most,))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, DOCS).repartition(3), "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in out.collect()) == list(range(40))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("SortMergeJoin" in plan) == (most == 0)
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(5)
     common = np.sort(rng.integers(0, 2000, 300).astype(np.uint64))
