@@ -111,10 +111,11 @@ def clear() -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows. Spark bounds the bytes of a batch, this what Python makes of it at a time."""
+    """Batches of few rows. Spark bounds the bytes of a batch, this what Python makes of it at a time, and what it leaves of one."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        trim()
 
 
 def settle(own: dict | None = None) -> None:
@@ -122,10 +123,15 @@ def settle(own: dict | None = None) -> None:
     for cache in CACHES:
         if cache is not own:
             cache.clear()
+    trim()
+
+
+def trim() -> None:
+    """Freed memory goes back to the system: a worker lives on beside others and the executor's JVM."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim:
-        trim(0)
+    back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if back:
+        back(0)
 
 
 def few(rows: DataFrame, most: int = FEW) -> DataFrame:

@@ -138,6 +138,7 @@ def judged(pairs: DataFrame, sides: DataFrame, test, label: str, crowd: int = 25
     """Those of the pairs ``a, b`` whose values pass; ``sides`` has sig, value. A ``b`` with many pairs is dealt over several tasks."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in slices(batches, 64):
             ok = pa.array([test(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
@@ -159,6 +160,7 @@ def verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFram
     """Those of the pairs of sigs whose sets are similar."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in slices(batches, 64):
             made = [shingle_set(t or b"").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["sig", "value"])

@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import CACHES, materialize, settle, ship, shipped, slices, table
+from lectern.llm.common import CACHES, materialize, settle, ship, shipped, slices, table, trim
 
 #: Partition number times this plus the window's number is a sequence's id, and plus a document's number its row; those of merged windows follow MERGED.
 SPAN = 1 << 32
 MERGED = 1 << 61
-CHARS = 4_000_000  # of texts that are looked up together
+CHARS = 1_500_000  # of texts that are looked up together
 TOGETHER = 4096  # words that the tokenizer gets as one text
 
 
@@ -43,20 +43,29 @@ def _lowered(text: str) -> str | None:
     return low if "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", low) else None
 
 
+def laid(ids: list[bytes], base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids end to end, and where each begins, counted from ``base``, and how many it has."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    return np.frombuffer(b"".join(ids), "<u4"), base + np.cumsum(sizes) - sizes, sizes
+
+
 class WordTokenizer:
     """Ids by a ``tokenizers`` file whose pre-tokenizer never crosses white space, so a word's ids can be kept.
 
-    Texts are cut at blanks, tabs and line ends only; any other separator stays in its word, for the tokenizer to see.
+    Texts are cut at blanks, tabs and line ends only; any other separator stays in its word, for the tokenizer to see. Kept words
+    lie in Arrow and numpy arrays, about 50 bytes each. Beyond ``keep`` of them the half that was met last stays.
     """
 
     _of: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str, keep: int = 1_500_000, longest: int = 64, short: int = 12):
+    def __init__(self, path: str, keep: int = 250_000, longest: int = 64, short: int = 12):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.begins, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)  # the ids of each
+        self.met, self.turn = np.empty(0, np.int64), 0
         self.keep, self.longest, self.short = keep, longest, short
         self.marks = {m: np.asarray(self.inner.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,;:!?"}
         self.bar = self.inner.encode("|", add_special_tokens=False).ids
@@ -85,10 +94,7 @@ class WordTokenizer:
         cut = pc.split_pattern(pa.array(blank, pa.large_string()), " ")
         ends = cut.offsets.to_numpy()
         coded = cut.flatten().dictionary_encode()
-        of = self._words(coded.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(of), "<u4")
-        sizes = np.fromiter(map(len, of), np.int64, len(of)) // 4
-        begins = np.cumsum(sizes) - sizes
+        flat, begins, sizes = self._words(coded.dictionary)
         word = coded.indices.to_numpy()
         length = sizes[word]
         at = np.concatenate([[0], np.cumsum(length)])
@@ -97,21 +103,49 @@ class WordTokenizer:
         for k in range(len(texts)):
             yield raw[bounds[k] : bounds[k + 1]]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each of the distinct words."""
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each of the distinct words begin and how many they are."""
+        self.turn += 2
+        at = self._places(words)
+        new = np.flatnonzero(at < 0)
+        fresh = words.take(pa.array(new)).to_pylist()
+        stems = [self._stem(w) for w in fresh]
+        named = list({stem for stem, _ in stems})
+        place = self._places(pa.array(named, pa.large_string()))
+        missing = [stem for stem, k in zip(named, place.tolist()) if k < 0]
+        of = dict(zip(missing, self._encoded(missing)))
+        of.update((stem, self.flat[self.begins[k] : self.begins[k] + self.sizes[k]].tobytes()) for stem, k in zip(named, place.tolist()) if k >= 0)
+        made = [of[stem] + self.marks[mark] if mark else of[stem] for stem, mark in stems]
+        begins, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        old = at >= 0
+        begins[old], sizes[old] = self.begins[at[old]], self.sizes[at[old]]
+        more, begins[new], sizes[new] = laid(made, len(self.flat))
+        found = np.concatenate([self.flat, more])
+        kept = {w: ids for w, (stem, _), ids in zip(fresh, stems, made) if w != stem and len(w) <= self.short}
+        kept.update((stem, of[stem]) for stem in missing if len(stem) <= self.longest)
+        self._keep(kept)
+        return found, begins, sizes
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Of each word among those that are kept, -1 for others."""
+        if not len(self.known):
+            return np.full(len(words), -1)
+        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy()
+        self.met[at[at >= 0]] = self.turn
+        return at
+
+    def _keep(self, kept: dict[str, bytes]) -> None:
+        more, begins, sizes = laid(list(kept.values()), len(self.flat))
+        self.known = pa.concat_arrays([self.known, pa.array(list(kept), pa.large_string())])
+        self.flat = np.concatenate([self.flat, more])
+        self.begins, self.sizes = np.concatenate([self.begins, begins]), np.concatenate([self.sizes, sizes])
+        self.met = np.concatenate([self.met, np.full(len(kept), self.turn - 1)])  # a word that was met again stays before new ones
         if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        found = list(map(known.get, words))
-        new = [k for k, ids in enumerate(found) if ids is None]
-        stems = [self._stem(words[k]) for k in new]
-        missing = list({stem for stem, _ in stems}.difference(known))
-        known.update(zip(missing, self._encoded(missing)))
-        for k, (stem, mark) in zip(new, stems):
-            found[k] = known[words[k]] = known[stem] + (self.marks[mark] if mark else b"")
-        for word in [words[k] for k, (s, _) in zip(new, stems) if words[k] != s and len(words[k]) > self.short] + [s for s in missing if len(s) > self.longest]:
-            known.pop(word, None)
-        return found
+            last = np.sort(np.argsort(self.met, kind="stable")[-(self.keep // 2) :])
+            self.known, self.met, sizes = self.known.take(pa.array(last)), self.met[last], self.sizes[last]
+            ends = np.cumsum(sizes)
+            self.flat = self.flat[np.repeat(self.begins[last] - ends + sizes, sizes) + np.arange(sizes.sum())]
+            self.begins, self.sizes = ends - sizes, sizes
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         """By the tokenizer. Words without a bar are given to it as one text with bars between: only a bar has a bar's id."""
@@ -173,7 +207,7 @@ def place(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int
             offset += piece[2]
             size += len(piece[3])
 
-    for rows in slices(batches, 2048):
+    for rows in slices(batches, 1024):
         texts = [(x or b"").decode("utf-8", "replace") for x in rows.column(1).to_pylist()]
         for doc_id, ids in zip(rows.column(0).to_pylist(), tokenize(texts)):
             ids += end
@@ -204,6 +238,7 @@ def place(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int
             if size > 4_000_000:
                 yield batch()
                 size = 0
+        trim()
     emit([p for _, w in free for p in held[w]], -1)
     yield batch()
 

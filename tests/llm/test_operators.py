@@ -1,12 +1,15 @@
 """The ten operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
+import gc
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -83,6 +86,35 @@ def test_word_tokenizer_is_the_tokenizer():
         assert ids == np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_words_take_little_room():
+    """150,000 words that are met once: beside two workers the executor's JVM has to fit, too."""
+    mine = packing.WordTokenizer(BPE)
+    next(mine(["warm up"]))
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    for k in range(15):
+        assert all(mine([" ".join(f"q{n:x}z" for n in range(10_000 * k, 10_000 * (k + 1)))]))
+    gc.collect()
+    after = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    tracemalloc.stop()
+    assert after - before < 12_000_000
+
+
+def test_few_words_are_kept(monkeypatch):
+    """Beyond its bound the tokenizer drops the words not met for long; ids stay what they are, and a frequent word is encoded once."""
+    from tokenizers import Tokenizer
+
+    tok, mine, encoded = Tokenizer.from_file(BPE), packing.WordTokenizer(BPE, keep=200), Counter()
+    inner = mine._encoded
+    monkeypatch.setattr(mine, "_encoded", lambda words: encoded.update(words) or inner(words))
+    monkeypatch.setattr(packing, "CHARS", 1)
+    texts = [" ".join(["common", "Common,", *(f"w{k}x{n}." for n in range(50)), "é" * (k % 90)]) for k in range(40)] * 2
+    for text, ids in zip(texts, mine(texts)):
+        assert ids == np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+        assert len(mine.known) <= 200
+    assert encoded["common"] == 1 and encoded["w0x0"] == 2
+
+
 # ---- mixing
 
 
