@@ -13,8 +13,10 @@ tokenized whole and cut into many windows. An empty table gives no pieces. Other
 from __future__ import annotations
 
 import bisect
+import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -31,6 +33,26 @@ SPAN = 1 << 32
 MERGED = 1 << 61
 CHARS = 1_500_000  # of texts that are looked up together
 TOGETHER = 4096  # words that the tokenizer gets as one text
+MARKS = ".,;:!?"
+#: The normalizer and pre-tokenizer under which a word of small letters below U+0250 stays as it is and goes to the model in one piece.
+LETTERS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+_RANDOM = np.random.default_rng(1).integers(1, 1 << 64, 256, np.uint64)  # of each byte, for the hashes
+_BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
+_BYTES = np.arange(256)
+_MARK = np.isin(_BYTES, list(MARKS.encode()))
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+_PRINTED = np.isin(_BYTES, [*range(33, 127), *range(161, 173), *range(174, 256)])  # bytes that the byte-level alphabet shows as themselves
+_BYTE_LETTERS = np.where(_PRINTED, _BYTES, 255 + np.cumsum(~_PRINTED)).astype("<u4")
+_BYTE_LETTERS[10] = 10
 
 
 def _lowered(text: str) -> str | None:
@@ -43,17 +65,65 @@ def _lowered(text: str) -> str | None:
     return low if "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", low) else None
 
 
-def laid(ids: list[bytes], base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _small(word: str) -> bool:
+    """Whether it is small letters below U+0250 only."""
+    return word.islower() and word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
+def _cut(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and which of them is the first of each text, with the number of all at the end.
+
+    In a text that was lowered a single closing mark is a word of its own after a digit or letter of ASCII or of U+00C0 to U+023F.
+    """
+    low = [_lowered(t) for t in texts]
+    raw = [(t if small is None else small).encode() for t, small in zip(texts, low)]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    begins = np.cumsum(sizes) - sizes  # each text has a blank before it
+    data = np.frombuffer(b" ".join([b"", *raw]).translate(_BLANKS), np.uint8)
+    starts = data == 32
+    marks = np.flatnonzero(_MARK[data])
+    marks = marks[np.append(starts, True)[marks + 1]]
+    last, lead = data[marks - 1], data[marks - 2]
+    alnum = _ALNUM[last] | ((last >= 128) & (lead >= 0xC3) & (lead <= 0xC8) & ((lead > 0xC3) | ((last != 0x97) & (last != 0xB7))))
+    lowered = np.fromiter((small is not None for small in low), bool, len(low))
+    marks = marks[alnum & lowered[np.searchsorted(begins, marks, "right") - 1]]
+    bare = data[~starts]
+    starts[marks] = True
+    at = np.flatnonzero(starts)
+    blank = data[at] == 32
+    ends = np.append(at - np.cumsum(blank) + blank, len(bare))  # counted without blanks
+    words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(bare)])
+    return words, np.append(np.searchsorted(at, begins), len(at))
+
+
+def laid(ids: list[list[int]], base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids end to end, and where each begins, counted from ``base``, and how many it has."""
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    return np.frombuffer(b"".join(ids), "<u4"), base + np.cumsum(sizes) - sizes, sizes
+    sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+    return np.fromiter(chain.from_iterable(ids), "<u4"), base + np.cumsum(sizes, dtype=np.int64) - sizes, sizes
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    """64 bits of each word: its bytes' random numbers times powers of an odd number by place, added up."""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    if ends[0] == ends[-1]:
+        return np.zeros(len(words), np.uint64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    powers = np.full(sizes.max(), 0x9E3779B97F4A7C15, np.uint64)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_RANDOM[data] * powers[np.arange(len(data)) - np.repeat(ends[:-1], sizes)], out=sums[1:])
+    return sums[ends[1:]] - sums[ends[:-1]]
 
 
 class WordTokenizer:
     """Ids by a ``tokenizers`` file whose pre-tokenizer never crosses white space, so a word's ids can be kept.
 
-    Texts are cut at blanks, tabs and line ends only; any other separator stays in its word, for the tokenizer to see. Kept words
-    lie in Arrow and numpy arrays, about 50 bytes each. Beyond ``keep`` of them the half that was met last stays.
+    Texts are cut at blanks, tabs and line ends only, and before a closing mark that surely is a piece of its own; any other separator
+    stays in its word, for the tokenizer to see. Kept words lie in Arrow and numpy arrays, about 60 bytes each, and are found by sorted
+    hashes; their letters are compared, and of words with one hash only the first is kept. Beyond ``keep`` words the half that was met last stays.
     """
 
     _of: dict[str, WordTokenizer] = {}
@@ -64,11 +134,19 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.known = pa.array([], pa.large_string())
-        self.flat, self.begins, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)  # the ids of each
-        self.met, self.turn = np.empty(0, np.int64), 0
+        self.flat, self.begins, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int32)  # the ids of each
+        self.met, self.turn = np.empty(0, np.int32), 0
+        self.hashes, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)  # ascending, and whose each is
         self.keep, self.longest, self.short = keep, longest, short
-        self.marks = {m: np.asarray(self.inner.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,;:!?"}
+        self.marks = {m: self.inner.encode(m, add_special_tokens=False).ids for m in MARKS}
         self.bar = self.inner.encode("|", add_special_tokens=False).ids
+        self.steps = self._steps()
+        self.model = self.inner.model
+
+    def _steps(self) -> bool:
+        """Whether the tokenizer gives a word of small letters to its model in one piece, as ``LETTERS`` says."""
+        parts = [json.loads(p.__getstate__()) if p else None for p in (self.inner.normalizer, self.inner.pre_tokenizer)]
+        return parts == LETTERS and not any(t.content.isalpha() for t in self.inner.get_added_tokens_decoder().values())
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -90,16 +168,14 @@ class WordTokenizer:
             yield from self._ids(group)
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
-        blank = [(_lowered(t) or t).replace("\t", " ").replace("\n", " ").replace("\r", " ") for t in texts]
-        cut = pc.split_pattern(pa.array(blank, pa.large_string()), " ")
-        ends = cut.offsets.to_numpy()
-        coded = cut.flatten().dictionary_encode()
+        words, firsts = _cut(texts)
+        coded = words.dictionary_encode()
         flat, begins, sizes = self._words(coded.dictionary)
         word = coded.indices.to_numpy()
         length = sizes[word]
-        at = np.concatenate([[0], np.cumsum(length)])
+        at = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
         raw = flat[np.repeat(begins[word] - at[:-1], length) + np.arange(at[-1])].tobytes()
-        bounds = 4 * at[ends - ends[0]]
+        bounds = (4 * at[firsts]).tolist()
         for k in range(len(texts)):
             yield raw[bounds[k] : bounds[k + 1]]
 
@@ -109,14 +185,15 @@ class WordTokenizer:
         at = self._places(words)
         new = np.flatnonzero(at < 0)
         fresh = words.take(pa.array(new)).to_pylist()
-        stems = [self._stem(w) for w in fresh]
-        named = list({stem for stem, _ in stems})
-        place = self._places(pa.array(named, pa.large_string()))
-        missing = [stem for stem, k in zip(named, place.tolist()) if k < 0]
+        stems = [(w, "") if _small(w) else self._stem(w) for w in fresh]
+        missing = [w for w, (stem, _) in zip(fresh, stems) if w == stem]
+        named = list({stem for w, (stem, _) in zip(fresh, stems) if w != stem}.difference(missing))
+        place = self._places(pa.array(named, pa.large_string())).tolist()
+        missing += [stem for stem, k in zip(named, place) if k < 0]
         of = dict(zip(missing, self._encoded(missing)))
-        of.update((stem, self.flat[self.begins[k] : self.begins[k] + self.sizes[k]].tobytes()) for stem, k in zip(named, place.tolist()) if k >= 0)
+        of.update((stem, self.flat[self.begins[k] : self.begins[k] + self.sizes[k]].tolist()) for stem, k in zip(named, place) if k >= 0)
         made = [of[stem] + self.marks[mark] if mark else of[stem] for stem, mark in stems]
-        begins, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begins, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int32)
         old = at >= 0
         begins[old], sizes[old] = self.begins[at[old]], self.sizes[at[old]]
         more, begins[new], sizes[new] = laid(made, len(self.flat))
@@ -128,40 +205,66 @@ class WordTokenizer:
 
     def _places(self, words: pa.Array) -> np.ndarray:
         """Of each word among those that are kept, -1 for others."""
-        if not len(self.known):
+        if not len(self.known) or not len(words):
             return np.full(len(words), -1)
-        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy()
-        self.met[at[at >= 0]] = self.turn
+        short = np.flatnonzero(pc.binary_length(words).to_numpy() <= 4 * self.longest)  # bytes; longer words are not kept
+        hashes = hashed(words.take(pa.array(short)) if len(short) < len(words) else words)
+        rank = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        maybe = np.flatnonzero(self.hashes[rank] == hashes)
+        number = self.number[rank[maybe]]
+        maybe = short[maybe]
+        same = pc.equal(words.take(pa.array(maybe)), self.known.take(pa.array(number))).to_numpy(zero_copy_only=False)
+        at = np.full(len(words), -1)
+        at[maybe[same]] = number[same]
+        self.met[number[same]] = self.turn
         return at
 
-    def _keep(self, kept: dict[str, bytes]) -> None:
-        more, begins, sizes = laid(list(kept.values()), len(self.flat))
-        self.known = pa.concat_arrays([self.known, pa.array(list(kept), pa.large_string())])
+    def _keep(self, kept: dict[str, list[int]]) -> None:
+        words = pa.array(list(kept), pa.large_string())
+        hashes, first = np.unique(hashed(words), return_index=True)
+        rank = np.searchsorted(self.hashes, hashes)
+        new = np.append(self.hashes, hashes[-1:])[rank] != hashes if len(self.hashes) else np.full(len(hashes), True)
+        new |= rank == len(self.hashes)
+        hashes, first, rank = hashes[new], first[new], rank[new]
+        ids = list(kept.values())
+        more, begins, sizes = laid([ids[k] for k in first.tolist()], len(self.flat))
+        self.hashes = np.insert(self.hashes, rank, hashes)
+        self.number = np.insert(self.number, rank, np.arange(len(self.known), len(self.known) + len(first)))
+        self.known = pa.concat_arrays([self.known, words.take(pa.array(first))])
         self.flat = np.concatenate([self.flat, more])
         self.begins, self.sizes = np.concatenate([self.begins, begins]), np.concatenate([self.sizes, sizes])
-        self.met = np.concatenate([self.met, np.full(len(kept), self.turn - 1)])  # a word that was met again stays before new ones
+        self.met = np.concatenate([self.met, np.full(len(first), self.turn - 1, np.int32)])  # a word that was met again stays before new ones
         if len(self.known) > self.keep:
             last = np.sort(np.argsort(self.met, kind="stable")[-(self.keep // 2) :])
             self.known, self.met, sizes = self.known.take(pa.array(last)), self.met[last], self.sizes[last]
-            ends = np.cumsum(sizes)
+            ends = np.cumsum(sizes, dtype=np.int64)
             self.flat = self.flat[np.repeat(self.begins[last] - ends + sizes, sizes) + np.arange(sizes.sum())]
             self.begins, self.sizes = ends - sizes, sizes
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        """By the tokenizer. Words without a bar are given to it as one text with bars between: only a bar has a bar's id."""
-        plain = [w for w in words if "|" not in w and "<" not in w] if len(self.bar) == 1 else []
-        done = dict.fromkeys(plain)
+            number = np.full(int(self.number.max()) + 1, -1, np.int32)
+            number[last] = np.arange(len(last))
+            stays = number[self.number] >= 0
+            self.hashes, self.number = self.hashes[stays], number[self.number[stays]]
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        """By the tokenizer. Words of small letters go to its model at once, others without a bar as one text with bars between: only a bar has a bar's id."""
+        done = self._modelled([w for w in words if len(w) <= self.longest and _small(w)]) if self.steps else {}
+        plain = [w for w in words if w not in done and "|" not in w and "<" not in w] if len(self.bar) == 1 else []
         for at in range(0, len(plain), TOGETHER):
             some = plain[at : at + TOGETHER]
             ids = np.asarray(self.inner.encode_batch_fast([" | ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self.bar[0])).tolist()
+            raw, cuts = ids.tolist(), np.flatnonzero(ids == self.bar[0]).tolist()
             if len(cuts) == len(some) - 1:
-                done.update(zip(some, (raw[i:j] for i, j in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)]))))
-        rest = [w for w in words if done.get(w) is None]
-        for e, word in zip(self.inner.encode_batch_fast(rest, add_special_tokens=False), rest):
-            done[word] = np.asarray(e.ids, "<u4").tobytes()
+                done.update(zip(some, (raw[i:j] for i, j in zip([0, *[c + 1 for c in cuts]], [*cuts, len(raw)]))))
+        rest = [w for w in words if w not in done]
+        done.update((w, e.ids) for w, e in zip(rest, self.inner.encode_batch_fast(rest, add_special_tokens=False)))
         return [done[w] for w in words]
 
+    def _modelled(self, words: list[str]) -> dict[str, list[int]]:
+        """By the tokenizer's model, which gets a word's bytes as the letters that stand for them."""
+        letters = _BYTE_LETTERS[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-32-le").split("\n")
+        tokenize = self.model.tokenize
+        return {w: [t.id for t in tokenize(x)] for w, x in zip(words, letters)}
+
     def _stem(self, word: str) -> tuple[str, str]:
         """The word in lower case and without one closing mark, and that mark, where the tokenizer surely sees it so.
 
